@@ -14,8 +14,11 @@ DAY = "created"
 
 
 def by_day(keys: Sequence[str] = (), day: str = DAY):
-    """Window over one series in day order. A series holds at most one row per calendar day."""
-    return W.partitionBy(*keys).orderBy(day)
+    """Window over one series in day order. A series holds at most one row per calendar day.
+
+    All ordered windows use this one ordering, so consecutive ones share a single sort.
+    """
+    return W.partitionBy(*keys).orderBy(F.col(day).asc_nulls_last())
 
 
 def dedup_keep_last(
@@ -48,23 +51,25 @@ def complete_calendar(df: DataFrame, keys: Sequence[str] = (), day: str = DAY) -
         )
     )
     own = F.col(day) == F.col("_own")
-    return spread.select(*keys, day, *[F.when(own, F.col(c)).alias(c) for c in rest])
+    # Unfolding keeps the order, but Spark cannot know; one sort here serves all later windows.
+    return spread.select(
+        *keys, day, *[F.when(own, F.col(c)).alias(c) for c in rest]
+    ).sortWithinPartitions(*keys, F.col(day).asc_nulls_last())
 
 
 def trim_last_day(df: DataFrame, keys: Sequence[str] = (), day: str = DAY) -> DataFrame:
     """Drop each series' last row, the still open day. Rows without a day sort last."""
-    w = W.partitionBy(*keys).orderBy(F.col(day).desc_nulls_first())
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n > 1").drop("_n")
+    follows = F.lead(F.lit(True)).over(by_day(keys, day))
+    return df.withColumn("_follows", follows).filter("_follows").drop("_follows")
 
 
 def drop_open_day(df: DataFrame, keys: Sequence[str] = (), day: str = DAY) -> DataFrame:
     """:func:`trim_last_day` that fails on a non-empty series of fewer than two days."""
-    w = W.partitionBy(*keys).orderBy(F.col(day).desc_nulls_first())
     alone = F.count(F.lit(1)).over(W.partitionBy(*keys)) < 2
     checked = F.when(
         alone, F.raise_error(F.lit("a series needs at least two days to drop the open one"))
-    ).otherwise(F.row_number().over(w))
-    return df.withColumn("_n", checked.cast("int")).filter("_n > 1").drop("_n")
+    ).otherwise(F.lead(F.lit(True)).over(by_day(keys, day)))
+    return df.withColumn("_follows", checked.cast("boolean")).filter("_follows").drop("_follows")
 
 
 def target_series(
@@ -83,42 +88,39 @@ def target_series(
     return complete_calendar(series, keys, day) if complete else series
 
 
+def _fill_windows(keys: Sequence[str], day: str):
+    """Running windows up to each row, seen from the start and from the end of the series.
+
+    The second one sorts descending: a frame that reaches from a row to the end would be
+    evaluated anew for every row.
+    """
+    back = W.partitionBy(*keys).orderBy(F.col(day).desc())
+    return tuple(w.rowsBetween(W.unboundedPreceding, 0) for w in (by_day(keys, day), back))
+
+
 def interpolate_linear(
     df: DataFrame, value: str = "y", keys: Sequence[str] = (), day: str = DAY
 ) -> DataFrame:
     """Fill NULLs of ``value`` linearly over time; the ends repeat the nearest known value."""
-    w = by_day(keys, day)
-    back = w.rowsBetween(W.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, W.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(day).alias("d"), F.col(value).alias("v")))
-    out = df.withColumns(
-        {
-            "_known": known,
-            "_before": F.last(known, ignorenulls=True).over(back),
-            "_after": F.first(known, ignorenulls=True).over(ahead),
-        }
-    )
-    before, after = F.col("_before"), F.col("_after")
-    share = days_since(F.col(day), before["d"]) / days_since(after["d"], before["d"])
-    between = before["v"] + (after["v"] - before["v"]) * share
-    filled = (
-        F.when(F.col(value).isNotNull(), F.col(value))
-        .when(before.isNotNull() & after.isNotNull(), between)
-        .otherwise(F.coalesce(before["v"], after["v"]))
-    )
-    return out.withColumn(value, filled).drop("_known", "_before", "_after")
+    ahead, back = _fill_windows(keys, day)
+    known_day = F.when(F.col(value).isNotNull(), F.col(day))
+    out = df
+    for side, w in (("_l", ahead), ("_r", back)):
+        out = out.withColumns(
+            {
+                f"{side}d": F.last(known_day, ignorenulls=True).over(w),
+                f"{side}v": F.last(value, ignorenulls=True).over(w),
+            }
+        )
+    left, right = F.col("_lv"), F.col("_rv")
+    share = days_since(day, "_ld") / days_since("_rd", "_ld")
+    filled = F.coalesce(F.col(value), left + (right - left) * share, left, right)
+    return out.withColumn(value, filled).drop("_ld", "_lv", "_rd", "_rv")
 
 
 def fill_both_ways(
     df: DataFrame, value: str, keys: Sequence[str] = (), day: str = DAY, default: float = 0.0
 ) -> DataFrame:
     """Forward fill, then backward fill, then ``default``."""
-    w = by_day(keys, day)
-    return df.withColumn(
-        value,
-        F.coalesce(
-            F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-            F.first(value, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
-            F.lit(default),
-        ),
-    )
+    earlier, later = (F.last(value, ignorenulls=True).over(w) for w in _fill_windows(keys, day))
+    return df.withColumn(value, F.coalesce(earlier, later, F.lit(default)))

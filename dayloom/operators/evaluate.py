@@ -73,7 +73,7 @@ def error_rows(
     if "sample_idx" in predictions.columns:
         numbered = predictions
     else:
-        w = W.partitionBy(*keys).orderBy(order)
+        w = W.partitionBy(name, *keys).orderBy(order)
         numbered = predictions.withColumn("sample_idx", (F.row_number().over(w) - 1).cast("bigint"))
     dated = [DAY] if DAY in predictions.columns else []
     rows = numbered.select(

@@ -9,85 +9,94 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dayloom.operators.features import numeric_columns
+from dayloom.session import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
+_SUMMARY = "column string, count bigint, nulls bigint, mean double, min double, max double"
 
 
-def exact_quantiles(
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): every distinct value with its frequency, merged map-side."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    )
+    return (
+        df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def profile(
     df: DataFrame,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     probabilities: Sequence[float] = QUARTILES,
     *,
-    slices: int = 1024,
+    slices: int = 256,
 ) -> DataFrame:
-    """(column, q array): linearly interpolated quantiles without gathering a column anywhere.
+    """One row per numeric column: count, nulls, mean, sample std, min, quantiles, max.
 
-    Equal values are first merged to (value, count). A sketch then cuts every column into
-    ``slices`` ranges; running totals over those few ranges tell which of them hold the wanted
-    ranks, and only these are ranked value by value. The sketch steers the work, it does not
-    affect the result: any cut points give the same quantiles.
+    The data is read once, into distinct values with their frequencies; those are stored and
+    everything follows from them. The driver sees one row per column. Quantiles interpolate
+    linearly and are exact without gathering a column: a sketch of the distinct values cuts
+    each column into ``slices`` ranges, running totals over the ranges tell which of them hold
+    the wanted ranks, and only these are ranked value by value. Any cut points would give the
+    same result; the sketch only keeps the ranges even.
     """
+    columns = list(columns or numeric_columns(df))
+    counts = cut_lineage(value_counts(df, columns))
+    n, value = F.col("n"), F.col("value")
+    known = value.isNotNull()
     fractions = [i / slices for i in range(1, slices)]
-    sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), fractions, slices * 10).alias(c) for c in columns]
-    ).first()
-    cuts = {c: sorted(set(sketch[c] or [])) for c in columns}
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.column", "cell.value")
-    counts = (
-        long.filter("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cut_points = F.create_map(
-        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in cuts[c]]).cast("array<double>"))]
-    )
-    ranged = counts.withColumn(
-        "slice", _slice_of(F.col("value"), F.element_at(cut_points, F.col("column")))
+    rows = (
+        counts.groupBy("column")
+        .agg(
+            F.coalesce(F.sum(F.when(known, n)), F.lit(0)).alias("count"),
+            F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias("nulls"),
+            F.sum(n * value).alias("total"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.percentile_approx("value", fractions, slices * 8).alias("cuts"),
+        )
+        .collect()
     )
-    totals = ranged.groupBy("column", "slice").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("column").orderBy("slice"))
-    total = F.sum("n").over(W.partitionBy("column"))
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    offsets = totals.select(
-        "column", "slice", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total")
+    means = {r["column"]: r["total"] / r["count"] if r["count"] else None for r in rows}
+    summary = df.sparkSession.createDataFrame(
+        [(r["column"], r["count"], r["nulls"], means[r["column"]], r["min"], r["max"]) for r in rows],
+        _SUMMARY,
     )
-    ranks = F.transform(wanted, lambda p: p * (F.col("total") - 1))
-    holds = F.exists(
-        ranks,
-        lambda r: (F.floor(r) < F.col("upto")) & (F.ceil(r) >= F.col("before")),
+    centre = _per_column({c: F.lit(m).cast("double") for c, m in means.items()})
+    spread = counts.groupBy("column").agg(
+        F.sqrt(
+            F.try_divide(F.sum(n * F.pow(value - centre, 2)), F.sum(F.when(known, n)) - 1)
+        ).alias("std")
     )
-    near = ranged.join(offsets.filter(holds), ["column", "slice"])
-    inside = F.sum("n").over(W.partitionBy("column", "slice").orderBy("value"))
-    placed = near.withColumn("last_rank", F.col("before") + inside - 1).withColumn(
-        "first_rank", F.col("last_rank") - F.col("n") + 1
+    cuts = {r["column"]: sorted(set(r["cuts"] or [])) for r in rows}
+    sizes = {r["column"]: r["count"] for r in rows}
+    quantiles = _quantiles(counts.filter(known), cuts, sizes, probabilities, slices)
+    names = [f"p{round(100 * p):d}" for p in probabilities]
+    return (
+        summary.join(spread, "column", "left")
+        .join(quantiles, "column", "left")
+        .select(
+            "column",
+            "count",
+            "nulls",
+            "mean",
+            "std",
+            "min",
+            *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(names)],
+            "max",
+        )
     )
-    picks = []
-    for i, p in enumerate(probabilities):
-        rank = F.lit(float(p)) * (F.col("total") - 1)
-        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            hit = (F.col("first_rank") <= at) & (at <= F.col("last_rank"))
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"{side}{i}"))
-        picks.append(F.max(rank - F.floor(rank)).alias(f"part{i}"))
-    found = placed.groupBy("column").agg(*picks)
-    values = [
-        F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
-        for i in range(len(probabilities))
-    ]
-    return found.select("column", F.array(*values).alias("q"))
-
-
-def _slice_of(value: Column, cuts: Column) -> Column:
+
+
+def _per_column(values: dict[str, Column]) -> Column:
+    pairs = [x for c, v in values.items() for x in (F.lit(c), v)]
+    return F.create_map(*pairs)[F.col("column")]
+
+
+def _slice_of(value: Column, cuts: Column, slices: int) -> Column:
     """Number of sorted cut points at or below ``value`` (binary search by halving steps)."""
-    steps = F.array(*[F.lit(2**k) for k in range(16, -1, -1)])
+    steps = F.array(*[F.lit(2**k) for k in range(slices.bit_length(), -1, -1)])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -95,33 +104,35 @@ def _slice_of(value: Column, cuts: Column) -> Column:
     )
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column: count, mean, std, min, quartiles, max and non-null share."""
-    columns = list(columns or numeric_columns(df))
-    parts = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(v).alias("count"),
-                F.count_if(v.isNull()).alias("nulls"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-            ).alias(c)
-        )
-    moments = df.agg(*parts).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("m"))
-    return moments.select("m.*").join(exact_quantiles(df, columns), "column", "left").select(
-        "column",
-        "count",
-        "nulls",
-        "mean",
-        "std",
-        "min",
-        F.col("q")[0].alias("p25"),
-        F.col("q")[1].alias("p50"),
-        F.col("q")[2].alias("p75"),
-        "max",
+def _quantiles(
+    counts: DataFrame,
+    cuts: dict[str, list[float]],
+    sizes: dict[str, int],
+    probabilities: Sequence[float],
+    slices: int,
+) -> DataFrame:
+    """(column, q array) from value frequencies, linearly interpolated between ranks."""
+    points = _per_column(
+        {c: F.array(*[F.lit(v) for v in at]).cast("array<double>") for c, at in cuts.items()}
     )
+    size = _per_column({c: F.lit(k) for c, k in sizes.items()})
+    placed = counts.withColumn("slice", _slice_of(F.col("value"), points, slices))
+    totals = placed.groupBy("column", "slice").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("column").orderBy("slice"))
+    ranks = [F.lit(float(p)) * (size - 1) for p in probabilities]
+    bounds = totals.select("column", "slice", upto.alias("upto"), (upto - F.col("n")).alias("before"))
+    holds = F.lit(False)
+    for r in ranks:
+        holds = holds | ((F.floor(r) < F.col("upto")) & (F.ceil(r) >= F.col("before")))
+    near = placed.join(bounds.filter(holds).drop("upto"), ["column", "slice"])
+    inside = F.sum("n").over(W.partitionBy("column", "slice").orderBy("value"))
+    ranked = near.withColumn("last", F.col("before") + inside - 1)
+    picks = []
+    for r in ranks:
+        edges = []
+        for at in (F.floor(r), F.ceil(r)):
+            hit = (F.col("last") - F.col("n") < at) & (at <= F.col("last"))
+            edges.append(F.max(F.when(hit, F.col("value"))))
+        low, high = edges
+        picks.append(low + (high - low) * F.max(r - F.floor(r)))
+    return ranked.groupBy("column").agg(F.array(*picks).alias("q"))

@@ -87,14 +87,27 @@ def _run(df: DataFrame, keys: Sequence[str], horizon: str, grid) -> DataFrame:
 
 
 def smoothing_forecast(
-    series: DataFrame, days: int, keys: Sequence[str] = (), *, grid=GRID
+    series: DataFrame,
+    days: int,
+    keys: Sequence[str] = (),
+    *,
+    first: str | None = None,
+    grid=GRID,
 ) -> DataFrame:
-    """Forecast of the ``days`` days after each gap-free series."""
+    """Forecast ``days`` days from ``first`` (default: the day after each gap-free series)."""
+    check_horizon(days)
     filled = interpolate_linear(series, "y", keys)
+    gap = F.lit(0)
+    if first is not None:
+        ahead = F.datediff(F.lit(first).cast("date"), F.max(DAY).over(W.partitionBy(*keys))) - 1
+        gap = F.when(ahead >= 0, ahead).otherwise(
+            F.raise_error(F.lit("the first day lies inside the observed series")).cast("int")
+        )
     ready = filled.select(
-        *keys, DAY, "y", F.lit(True).alias("_train"), F.lit(check_horizon(days)).alias("_steps")
+        *keys, DAY, "y", F.lit(True).alias("_train"), (gap + F.lit(days)).alias("_steps")
     )
-    return _run(ready, keys, "_steps", list(grid))
+    predicted = _run(ready, keys, "_steps", list(grid))
+    return predicted if first is None else predicted.filter(F.col(DAY) >= F.lit(first).cast("date"))
 
 
 def smoothing_backtest(

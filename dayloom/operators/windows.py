@@ -75,47 +75,44 @@ def window_scaler(
     themselves (``window`` times the data) are never built.
     """
     whole = W.partitionBy(*keys)
-    at = F.row_number().over(by_day(keys, day)) - 1
-    rows = F.count(F.lit(1)).over(whole)
+    goal = "(target)"
+    placed = panel.dropna(subset=[*features, target]).select(
+        *keys,
+        *[F.col(c).cast("double").alias(c) for c in features],
+        F.col(target).cast("double").alias(goal),
+        (F.row_number().over(by_day(keys, day)) - 1).alias("_at"),
+        F.count(F.lit(1)).over(whole).alias("_rows"),
+    )
     train = cut_index(F.col("_rows") - window, ratio)
     first = F.greatest(F.lit(window), F.col("_at") + 1)
     last = F.least(F.col("_at") + window, train + window - 1)
     is_target = (F.col("_at") >= window) & (F.col("_at") < train + window)
-    weighted = panel.dropna(subset=[*features, target]).withColumns({"_at": at, "_rows": rows})
-    long = weighted.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(c).cast("double").alias("v"),
-                        F.greatest(last - first + 1, F.lit(0)).alias("w"),
-                    )
-                    for c in features
-                ],
-                F.struct(
-                    F.lit("(target)").alias("column"),
-                    F.col(target).cast("double").alias("v"),
-                    is_target.cast("int").alias("w"),
-                ),
-            )
-        ).alias("s"),
-    ).select(*keys, "s.*")
-    # Centring on the group's first moments keeps the sum of squares free of cancellation.
-    centre = long.groupBy(*keys, "column").agg(
-        (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean")
+    columns = [*features, goal]
+    # Sums of squares around a value of the series itself stay free of cancellation.
+    weighted = placed.withColumns(
+        {
+            "_w": F.greatest(last - first + 1, F.lit(0)).cast("double"),
+            "_t": is_target.cast("double"),
+            "_c": F.first(F.struct(*columns)).over(whole.orderBy("_at")),
+        }
     )
-    spread = (
-        long.join(centre, [*keys, "column"])
-        .groupBy(*keys, "column", "mean")
-        .agg(
-            F.sqrt(
-                F.sum(F.col("w") * F.pow(F.col("v") - F.col("mean"), 2)) / F.sum("w")
-            ).alias("std")
+    moments = []
+    for i, c in enumerate(columns):
+        w = F.col("_t") if c == goal else F.col("_w")
+        v = F.col(c) - F.col("_c")[c]
+        mean, square = F.sum(w * v) / F.sum(w), F.sum(w * v * v) / F.sum(w)
+        moments.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                (F.max(F.col("_c")[c]) + mean).alias("mean"),
+                F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"),
+            ).alias(f"_{i}")
         )
+    stats = weighted.groupBy(*keys).agg(*moments)
+    listed = stats.select(
+        *keys, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))]))
     )
-    return spread.withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
+    return listed.withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 
 def standardize_windows(

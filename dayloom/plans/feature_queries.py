@@ -26,8 +26,7 @@ _PANEL_DAY = ("created", *o.PANEL)
     ),
 )
 def target_series(spark, folder):
-    daily = Retail(spark, folder).daily_lines_by(BRAND)
-    return calendar.target_series(daily, "orders", [BRAND])
+    return calendar.target_series(Retail(spark, folder).series(BRAND), "y", [BRAND])
 
 
 @query(

@@ -95,7 +95,7 @@ def forecast_winner(
     elif name == "exponential_smoothing":
         series = target_series(panel, target, keys)
         last = series.groupBy(*keys).agg(F.max(DAY).alias("series_last_date"))
-        daily = smoothing_forecast(series, days, keys)
+        daily = smoothing_forecast(series, days, keys, first=first)
         if keys:
             daily = daily.join(last, list(keys))
         else:

@@ -620,15 +620,8 @@ def holt_winters_forecast(spark, folder):
     ),
 )
 def importance_share(spark, folder):
-    retail = Retail(spark, folder)
-    per_part = (
-        retail.order_lines().groupBy("productId").agg(F.sum("quantity").alias("quantity"))
-    )
-    units = (
-        per_part.join(retail.parts("p_type", BRAND), "productId")
-        .groupBy("p_type", BRAND)
-        .agg(F.sum("quantity").alias("units"))
-    )
+    lines = Retail(spark, folder).lines_by("p_type", BRAND)
+    units = lines.groupBy("p_type", BRAND).agg(F.sum("quantity").alias("units"))
     return tidy(importance.share_within(units, "units", ["p_type"]))
 
 

@@ -14,7 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Recording the Python call site of every expression slows wide plans down.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -18,17 +18,21 @@ DAY = "created"
 class Retail:
     """The library's input tables over one folder of Parquet tables.
 
-    Facts are grouped before they meet a dimension wherever the result allows it, so a part,
-    customer or order owning a large share of the rows is a handful of rows by the time of the
-    join.
+    Line items are grouped by order before they meet the orders where only their number counts;
+    the grouping leaves them partitioned for that join. Joins with parts are plain equi-joins:
+    Spark broadcasts a part table below its size limit and otherwise splits skewed partitions
+    of a hot part at run time.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def orders(self) -> DataFrame:
         return self.table("orders").select(
@@ -62,10 +66,14 @@ class Retail:
         )
 
     def first_orders(self) -> DataFrame:
-        """The id of every customer's first order."""
-        first = F.min(F.struct(DAY, "id")).alias("f")
-        return self.orders().groupBy("customerId").agg(first).select(
-            F.col("f.id").alias("id"), F.lit(True).alias("is_first")
+        """The id of every customer's first order (smallest id on the first day).
+
+        Both groupings keep fixed-width state, so they stay hash aggregations; one over
+        (day, id) pairs would have to sort all orders.
+        """
+        per_day = self.orders().groupBy("customerId", DAY).agg(F.min("id").alias("id"))
+        return per_day.groupBy("customerId").agg(F.min_by("id", DAY).alias("id")).select(
+            "id", F.lit(True).alias("is_first")
         )
 
     def line_counts(self) -> DataFrame:
@@ -94,33 +102,21 @@ class Retail:
             orders = orders.join(self.first_orders(), "id", "left")
         return lines.join(orders, "id")
 
-    def daily_lines_by(self, part_column: str) -> DataFrame:
-        """Line counts per (part attribute, day); parts join once their days are counted."""
-        per_part = self.order_lines().groupBy("productId", DAY).agg(F.count(F.lit(1)).alias("n"))
-        labelled = per_part.join(self.parts(part_column), "productId")
-        return labelled.groupBy(part_column, DAY).agg(F.sum("n").alias("orders"))
-
-    def customer_lines_by(self, part_column: str) -> DataFrame:
-        """Lines per (part attribute, day, customer) with the first-order flag of the customer."""
-        lines = self.order_lines(first=True)
-        per_part = lines.groupBy("productId", DAY, "customerId").agg(
-            F.count(F.lit(1)).alias("lines"), F.max("is_first").alias("is_first")
-        )
-        return per_part.join(self.parts(part_column), "productId")
+    def lines_by(self, *part_columns: str, first: bool = False) -> DataFrame:
+        """Line items with day and customer of their order and attributes of their part."""
+        return self.order_lines(first=first).join(self.parts(*part_columns), "productId")
 
     def product_days(self, label: str | None = None) -> DataFrame:
         """Units per (day, product_label): the part key as text, or a part attribute."""
-        per_part = (
-            self.order_lines().groupBy(DAY, "productId").agg(F.sum("quantity").alias("quantity"))
-        )
         if label is None:
-            return per_part.select(
-                DAY, F.col("productId").cast("string").alias("product_label"), "quantity"
-            )
-        labelled = per_part.join(self.parts(label), "productId")
-        return labelled.groupBy(DAY, F.col(label).alias("product_label")).agg(
+            lines = self.order_lines()
+            name = F.col("productId")
+        else:
+            lines, name = self.lines_by(label), F.col(label)
+        units = lines.groupBy(DAY, name.alias("product_label")).agg(
             F.sum("quantity").alias("quantity")
         )
+        return units.withColumn("product_label", F.col("product_label").cast("string"))
 
     def nested_orders(self) -> DataFrame:
         """Orders carrying an array of items; orders without items carry an empty one.
@@ -180,17 +176,10 @@ class Retail:
             *[v.alias(c) for c, v in sums.items()],
         )
         totals = [F.sum(c).alias(c) for c in sums]
-        if part_column is None:
-            daily = lines.groupBy("date").agg(*totals)
-            keys = []
-        else:
-            per_part = lines.groupBy("productId", "date").agg(*totals)
-            daily = (
-                per_part.join(self.parts(part_column), "productId")
-                .groupBy(part_column, "date")
-                .agg(*totals)
-            )
-            keys = [part_column]
+        keys = [part_column] if part_column else []
+        if part_column:
+            lines = lines.join(self.parts(part_column), "productId")
+        daily = lines.groupBy(*keys, "date").agg(*totals)
         money = ("adSpend", "rcRevenue", "totalRevenue")
         return daily.select(
             *keys,
@@ -215,11 +204,11 @@ class Retail:
         """The daily panel of all tables."""
         keys = [part_column] if part_column else []
         if part_column:
-            lines = self.customer_lines_by(part_column)
+            lines, weight = self.lines_by(part_column, first=True), None
         else:
-            lines = self.order_facts(first=True)
+            lines, weight = self.order_facts(first=True), "lines"
         stats = daily_order_stats(
-            lines, keys, order_number=None, first_order=F.col("is_first"), weight="lines"
+            lines, keys, order_number=None, first_order=F.col("is_first"), weight=weight
         )
         return combined_daily(stats, self.ad_spends(part_column), self.event_days(), keys)
 
@@ -231,8 +220,7 @@ class Retail:
     def series(self, part_column: str | None = None) -> DataFrame:
         """(keys, created, y): daily line counts, observed days only."""
         if part_column:
-            daily = self.daily_lines_by(part_column)
-            keys = [part_column]
+            daily, keys = daily_counts(self.lines_by(part_column), [part_column]), [part_column]
         else:
             daily, keys = daily_counts(self.order_facts(), weight="lines"), []
         return daily.select(*keys, DAY, F.col("orders").cast("double").alias("y"))
