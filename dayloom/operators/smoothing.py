@@ -28,15 +28,18 @@ def smooth(y: np.ndarray, steps: int, grid: Sequence[tuple[float, float, float]]
     """
     alpha, beta, gamma = np.asarray(grid, dtype=float).T
     seasonal = len(y) >= 2 * SEASON
+    # The state before the first day: a line through the first two weeks, the first week's
+    # distance from it as the season.
     if seasonal:
         first, second = y[:SEASON].mean(), y[SEASON : 2 * SEASON].mean()
-        level, trend = np.full(len(alpha), first), np.full(len(alpha), (second - first) / SEASON)
-        season = np.tile(y[:SEASON] - first, (len(alpha), 1)).T
+        slope = (second - first) / SEASON
+        start = first - slope * (SEASON + 1) / 2
+        offsets = y[:SEASON] - (start + slope * np.arange(1, SEASON + 1))
     else:
-        level = np.full(len(alpha), y[0])
-        trend = np.full(len(alpha), y[1] - y[0] if len(y) > 1 else 0.0)
-        season = np.zeros((SEASON, len(alpha)))
-        gamma = np.zeros_like(gamma)
+        slope = y[1] - y[0] if len(y) > 1 else 0.0
+        start, offsets, gamma = y[0] - slope, np.zeros(SEASON), np.zeros_like(gamma)
+    level, trend = np.full(len(alpha), start), np.full(len(alpha), slope)
+    season = np.tile(offsets, (len(alpha), 1)).T
     loss = np.zeros(len(alpha))
     for t, value in enumerate(y):
         s = season[t % SEASON]
@@ -82,8 +85,7 @@ def _run(df: DataFrame, keys: Sequence[str], horizon: str, grid) -> DataFrame:
         out["sse"] = loss
         return out[[f.name for f in schema.fields]]
 
-    grouped = df.groupBy(*keys) if keys else df.groupBy(F.lit(0))
-    return grouped.applyInPandas(one_series, schema)
+    return df.groupBy(*keys).applyInPandas(one_series, schema)
 
 
 def smoothing_forecast(

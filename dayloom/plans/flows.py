@@ -12,7 +12,7 @@ from dayloom.operators.baseline import Blend, baseline_forecast
 from dayloom.operators.calendar import target_series, trim_last_day
 from dayloom.operators.daily import combined_daily, daily_order_stats
 from dayloom.operators.features import feature_panel
-from dayloom.operators.forecast import fill_commercial, recursive_forecast
+from dayloom.operators.forecast import COMMERCIAL, fill_commercial, recursive_forecast
 from dayloom.operators.models import Comparison, compare_models, promote
 from dayloom.operators.smoothing import smoothing_forecast
 from dayloom.operators.windows import sliding_windows
@@ -113,7 +113,7 @@ def forecast_winner(
             ad_spend=ad_spend,
             events=events,
         )
-        components = ["adSpend", "rcRevenue", "totalRevenue"]
+        components = [c for c in COMMERCIAL if c in daily.columns]
     else:
         raise ValueError(f"no forecast for the winning model {name!r}")
     shaped = daily.select(
