@@ -27,7 +27,7 @@ def part_series(retail):
 
 
 def ridge(retail):
-    framed = windows.sliding_windows(retail.panel(), list(oracle.FEATURES))
+    framed = windows.sliding_windows(models.stored_panel(retail.panel()), list(oracle.FEATURES))
     train, validation = models.prepared_windows(framed, 0.2)
     fitted = models.fit_window_model("ridge", train)
     return models.validation_errors("ridge", fitted, validation)

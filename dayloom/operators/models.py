@@ -108,15 +108,20 @@ class Comparison:
 def prepared_windows(
     windows: DataFrame, ratio: float, keys: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, validation) vectors of the finite windows, stored reliably for repeated passes.
+    """(train, validation) vectors of the finite windows; with keys split per series, one model.
 
-    The split is done before the vectors are written, and with keys it is per series while the
-    model is one for all of them.
+    The vectors are not stored: they are ``window`` times as large as the panel. Build
+    ``windows`` on a panel whose lineage is cut (:func:`stored_panel`); a pass of an estimator
+    then shuffles the compact panel rows and slides over them, and nothing before that reruns.
     """
     check_ratio(ratio)
     flat = flat_split(finite_windows(windows), ratio, keys)
-    stored = cut_lineage(flat)
-    return stored.filter("split = 'train'"), stored.filter("split = 'val'")
+    return flat.filter("split = 'train'"), flat.filter("split = 'val'")
+
+
+def stored_panel(panel: DataFrame) -> DataFrame:
+    """The panel written once to the shared folder, for the repeated passes of training."""
+    return cut_lineage(panel)
 
 
 def fit_window_model(

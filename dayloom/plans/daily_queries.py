@@ -148,8 +148,7 @@ WHERE order_number_for_customer = 1 GROUP BY ALL""",
     ),
 )
 def daily_new_customers(spark, folder):
-    facts = Retail(spark, folder).order_facts(first=True)
-    return daily.daily_new_customers(facts, first_order=F.col("is_first"))
+    return daily.daily_new_customers(Retail(spark, folder).order_facts(numbered=True))
 
 
 @query(

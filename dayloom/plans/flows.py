@@ -13,7 +13,7 @@ from dayloom.operators.calendar import target_series, trim_last_day
 from dayloom.operators.daily import combined_daily, daily_order_stats
 from dayloom.operators.features import feature_panel
 from dayloom.operators.forecast import COMMERCIAL, fill_commercial, recursive_forecast
-from dayloom.operators.models import Comparison, compare_models, promote
+from dayloom.operators.models import Comparison, compare_models, promote, stored_panel
 from dayloom.operators.smoothing import smoothing_forecast
 from dayloom.operators.windows import sliding_windows
 
@@ -58,6 +58,7 @@ def train_and_promote(
     path: str | None = None,
 ) -> tuple[Comparison, DataFrame]:
     """Windows, comparison, selection and promotion; returns the comparison and winner record."""
+    panel = stored_panel(panel)
     windows = sliding_windows(panel, target=target, window=window, keys=keys)
     comparison = compare_models(
         windows,

@@ -531,7 +531,7 @@ def future_panel(spark, folder):
 
 
 def _global_windows(spark, folder):
-    panel = Retail(spark, folder).panel()
+    panel = models.stored_panel(Retail(spark, folder).panel())
     return panel, windows.sliding_windows(panel, list(o.FEATURES))
 
 
@@ -589,7 +589,7 @@ def feature_importance(spark, folder):
 
 def _brand_ridge(spark, folder):
     """Panel of all brands, and one ridge model trained on the windows of all of them."""
-    panel = Retail(spark, folder).panel(BRAND)
+    panel = models.stored_panel(Retail(spark, folder).panel(BRAND))
     framed = windows.sliding_windows(panel, list(o.FEATURES), keys=[BRAND])
     train, _ = models.prepared_windows(framed, RATIO, [BRAND])
     return panel, models.fit_window_model("ridge", train)

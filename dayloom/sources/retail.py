@@ -50,7 +50,9 @@ class Retail:
         """Orders with the running number of each customer's orders.
 
         A customer's days are counted first and only those totals are accumulated per customer
-        (one row per calendar day at most); single orders are ranked within their day.
+        (one row per calendar day at most); single orders are ranked within their day. So no
+        task ever holds all orders of a customer, and the result is partitioned by customer and
+        day, which leaves a later join by order id free to split a hot order at run time.
         """
         orders = self.orders()
         per_day = orders.groupBy("customerId", DAY).agg(F.count(F.lit(1)).alias("_n"))
@@ -65,17 +67,6 @@ class Retail:
             .drop("_before")
         )
 
-    def first_orders(self) -> DataFrame:
-        """The id of every customer's first order (smallest id on the first day).
-
-        Both groupings keep fixed-width state, so they stay hash aggregations; one over
-        (day, id) pairs would have to sort all orders.
-        """
-        per_day = self.orders().groupBy("customerId", DAY).agg(F.min("id").alias("id"))
-        return per_day.groupBy("customerId").agg(F.min_by("id", DAY).alias("id")).select(
-            "id", F.lit(True).alias("is_first")
-        )
-
     def line_counts(self) -> DataFrame:
         """Line items per order id."""
         return (
@@ -84,27 +75,23 @@ class Retail:
             .agg(F.count(F.lit(1)).alias("lines"))
         )
 
-    def order_facts(self, *, numbered: bool = False, first: bool = False) -> DataFrame:
+    def order_facts(self, *, numbered: bool = False) -> DataFrame:
         """One row per order that has line items, with their number as ``lines``."""
         orders = self.numbered_orders() if numbered else self.orders()
-        facts = self.line_counts().join(orders, "id")
-        return facts.join(self.first_orders(), "id", "left") if first else facts
+        return self.line_counts().join(orders, "id")
 
-    def order_lines(self, *, first: bool = False) -> DataFrame:
+    def order_lines(self, *, numbered: bool = False) -> DataFrame:
         """Line items with the day and customer of their order."""
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("id"),
             F.col("l_partkey").alias("productId"),
             F.col("l_quantity").alias("quantity"),
         )
-        orders = self.orders()
-        if first:
-            orders = orders.join(self.first_orders(), "id", "left")
-        return lines.join(orders, "id")
+        return lines.join(self.numbered_orders() if numbered else self.orders(), "id")
 
-    def lines_by(self, *part_columns: str, first: bool = False) -> DataFrame:
+    def lines_by(self, *part_columns: str, numbered: bool = False) -> DataFrame:
         """Line items with day and customer of their order and attributes of their part."""
-        return self.order_lines(first=first).join(self.parts(*part_columns), "productId")
+        return self.order_lines(numbered=numbered).join(self.parts(*part_columns), "productId")
 
     def product_days(self, label: str | None = None) -> DataFrame:
         """Units per (day, product_label): the part key as text, or a part attribute."""
@@ -204,12 +191,10 @@ class Retail:
         """The daily panel of all tables."""
         keys = [part_column] if part_column else []
         if part_column:
-            lines, weight = self.lines_by(part_column, first=True), None
+            lines, weight = self.lines_by(part_column, numbered=True), None
         else:
-            lines, weight = self.order_facts(first=True), "lines"
-        stats = daily_order_stats(
-            lines, keys, order_number=None, first_order=F.col("is_first"), weight=weight
-        )
+            lines, weight = self.order_facts(numbered=True), "lines"
+        stats = daily_order_stats(lines, keys, weight=weight)
         return combined_daily(stats, self.ad_spends(part_column), self.event_days(), keys)
 
     def panel(self, part_column: str | None = None, lags: Sequence[int] = (1, 7, 30)) -> DataFrame:

@@ -85,3 +85,48 @@ def test_date_filter_reaches_the_scan(spark):
     )
     plan = plan_of(tables.scan_order_lines(orders, since="1999-01-01"))
     assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_hot_order_and_hot_part_are_split(spark, tmp_path):
+    """A third of all lines in one order and a third on one part: both joins split at run time."""
+    n = 60_000
+    ids = F.col("id")
+    spark.range(n // 4).select(
+        ids.alias("o_orderkey"),
+        (ids % 97).alias("o_custkey"),
+        F.lit("F").alias("o_orderstatus"),
+        F.timestamp_seconds(ids % 400 * 86400).alias("o_orderdate"),
+        F.lit("1").alias("o_orderpriority"),
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(n).select(
+        F.when(ids % 3 == 0, 5).otherwise(ids % (n // 4)).cast("bigint").alias("l_orderkey"),
+        F.when(ids % 3 == 1, 7).otherwise(ids % 2000).cast("bigint").alias("l_partkey"),
+        F.rand(1).alias("l_quantity"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(2000).select(
+        ids.alias("p_partkey"), (ids % 5).cast("string").alias("p_brand")
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "12",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        lines = Retail(spark, str(tmp_path)).lines_by("p_brand", numbered=True)
+        daily = lines.groupBy("p_brand", "created").agg(
+            F.count(F.lit(1)).alias("n"), F.max("order_number_for_customer").alias("m")
+        )
+        assert daily.agg(F.sum("n")).first()[0] == n
+        daily.collect()
+        plan = plan_of(daily)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plan.count("skew=true") >= 2, plan
