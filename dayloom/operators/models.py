@@ -154,10 +154,12 @@ def compare_models(
     models: Iterable[str] | None = None,
     options: Mapping[str, Any] | None = None,
     seed: int = 42,
+    align: bool = False,
 ) -> Comparison:
     """Fit and score every model; a model that fails becomes a row with its error text.
 
-    Window models are scored on the last windows, series models on the last days of ``panel``.
+    Window models are scored on the last windows, series models on the last days of ``panel``,
+    which are a few more; ``align`` scores the series models on the windows' days only.
     Fits are separate cluster jobs started one after the other.
     """
     check_ratio(ratio)
@@ -180,6 +182,9 @@ def compare_models(
                 found = error_rows(smoothing_backtest(series, keys, ratio=ratio), name, keys)
             else:
                 raise ValueError(f"model {name!r} is not available")
+            if align and name in SERIES_MODELS:
+                found = found.join(validation.select(*keys, DAY), [*keys, DAY], "left_semi")
+                found = found.select(*errors[0].columns) if errors else found
             rows.append((name, *_score(found), None))
             errors.append(found)
         except Exception as problem:  # noqa: BLE001 - one failing model never ends the comparison

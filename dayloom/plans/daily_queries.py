@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayloom.functions import weekday_of
-from dayloom.operators import calendar, daily, evaluate, items, profile
+from dayloom.operators import calendar, daily, evaluate, features, items, profile
 from dayloom.operators.daily import DAY
 from dayloom.plans import oracle as o
 from dayloom.plans.catalog import query, tidy
@@ -354,3 +354,48 @@ def profile_lines(spark, folder):
 def orders_events_report(spark, folder):
     retail = Retail(spark, folder)
     return evaluate.series_report(retail.series(), retail.event_days())
+
+
+def _report_sql(shown: str) -> str:
+    return with_(
+        o.series()
+        + ",\n"
+        + o.EVENTS
+        + f""", trimmed AS (
+  SELECT * FROM series WHERE created < (SELECT max(created) FROM series)),
+shown AS (
+  SELECT created FROM (SELECT created, {shown} AS v FROM trimmed) WHERE v IS NOT NULL)""",
+        """SELECT (SELECT count(*) FROM shown) AS n_points_plotted,
+  (SELECT count(*) FROM trimmed) AS n_days_raw, (SELECT count(*) FROM series) AS n_days_before_trim,
+  (SELECT count(*) FROM event_days WHERE startDate BETWEEN (SELECT min(created) FROM shown)
+    AND (SELECT max(created) FROM shown)) AS n_events_in_range,
+  (SELECT count(*) FROM event_days) AS n_events_total""",
+    )
+
+
+_PCT = "100 * (y - lag(y) OVER (ORDER BY created)) / nullif(lag(y) OVER (ORDER BY created), 0)"
+
+
+@query("pct_events_report", _report_sql(_PCT))
+def pct_events_report(spark, folder):
+    retail = Retail(spark, folder)
+    shown = features.pct_change(calendar.drop_open_day(retail.series()), "y")
+    return evaluate.series_report(retail.series(), retail.event_days(), shown)
+
+
+@query("smoothed_events_report", _report_sql(_PCT))
+def smoothed_events_report(spark, folder):
+    retail = Retail(spark, folder)
+    shown = features.pct_change_smoothed(calendar.drop_open_day(retail.series()), "y")
+    return evaluate.series_report(retail.series(), retail.event_days(), shown)
+
+
+@query(
+    "daily_value",
+    with_(
+        o.combined(BRAND),
+        "SELECT created, adSpend FROM combined WHERE adSpend IS NOT NULL",
+    ),
+)
+def daily_value(spark, folder):
+    return tables.daily_value(Retail(spark, folder).combined(BRAND), "adSpend")

@@ -16,12 +16,37 @@ from dayloom.operators.forecast import COMMERCIAL, fill_commercial, recursive_fo
 from dayloom.operators.models import Comparison, compare_models, promote, stored_panel
 from dayloom.operators.smoothing import smoothing_forecast
 from dayloom.operators.windows import sliding_windows
+from dayloom.sources.files import write_datasets
+from dayloom.sources.tables import (
+    HISTORY_START,
+    scan_ad_spends,
+    scan_event_days,
+    scan_order_lines,
+)
 
 DAY = "created"
 # Winners that react to future spend and event overrides.
 OVERRIDABLE = ("linear_regression", "ridge", "random_forest", "catboost", "xgboost", "lstm")
 
 
+def build_datasets(
+    orders: DataFrame,
+    spends: DataFrame,
+    events: DataFrame,
+    base: str,
+    *,
+    since: str = HISTORY_START,
+    fmt: str = "parquet",
+) -> dict[str, dict[str, str]]:
+    """Scan the three source tables from ``since`` on and write them typed below ``base``."""
+    tables = {
+        "orders": scan_order_lines(orders, since=since),
+        "ad_spends": scan_ad_spends(spends, since=since),
+        "events": scan_event_days(events, since=since),
+    }
+    return write_datasets(tables, base, fmt)
+
+
 def daily_panel(
     lines: DataFrame,
     spends: DataFrame,

@@ -335,3 +335,30 @@ def test_metrics_json_round_trip(spark):
     )
     rows = files.metrics_rows(files.metrics_json(df)).collect()
     assert [tuple(r) for r in rows] == [("ridge", 1.0, 2.0, 0.1)]
+
+
+def test_aligned_comparison_scores_the_same_days(spark, panel, framed):
+    chosen = ("ridge", "baseline_tm7_sw8_blend")
+    aligned = models.compare_models(framed, panel, models=chosen, align=True)
+    counts = {r.model: r["count"] for r in aligned.errors.groupBy("model").count().collect()}
+    assert counts["ridge"] == counts["baseline_tm7_sw8_blend"] == N - 7 - int((N - 7) * 0.8)
+    loose = models.compare_models(framed, panel, models=chosen)
+    assert loose.errors.filter("model <> 'ridge'").count() == N - int(N * 0.8)
+
+
+def test_build_datasets(spark, tmp_path):
+    orders = spark.sql(
+        """SELECT 1 AS id, timestamp'2024-01-02 10:00:00' AS created, 'c' AS customerId,
+             array(named_struct('productId', '7', 'title', 't', 'quantity', '2')) AS line_items"""
+    )
+    spends = spark.sql(
+        """SELECT date'2024-01-02' AS date, '1' AS adSpend, '2' AS rcRevenue, '3' AS totalRevenue,
+             '4' AS totalMerchSold, '5' AS totalNewCustomerBarsSold,
+             '6' AS totalRecurringCustomerBarsSold"""
+    )
+    events = spark.sql("SELECT '2024-01-02' AS startDate")
+    paths = flows.build_datasets(orders, spends, events, str(tmp_path), fmt="both")
+    assert set(paths) == {"orders", "ad_spends", "events"}
+    for written in paths.values():
+        assert spark.read.json(written["jsonl"]).count() == 1
+        assert spark.read.csv(written["csv"], header=True).count() == 1
