@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dayloom.functions import day_number, weekday_of
-from dayloom.operators.calendar import complete_calendar, interpolate_linear
+from dayloom.operators.calendar import by_day, complete_calendar, interpolate_linear
+from dayloom.operators.evaluate import metric_columns
 from dayloom.operators.split import check_ratio, time_split, validation_start
 from dayloom.sources.tables import history_before
 
@@ -67,17 +68,22 @@ def baseline_backtest(
     ratio: float = 0.2,
     spec: Blend = Blend(),
     day: str = DAY,
+    strict: bool = False,
 ) -> DataFrame:
     """One-step-ahead predictions of the validation days that have an actual value.
 
-    ``series`` may be sparse: the split position comes from the covered calendar span.
+    ``series`` may be sparse: the split position comes from the covered calendar span. A day
+    without any history has a NULL prediction, or fails the query with ``strict``.
     """
     check_ratio(ratio)
     marked = with_components(series.filter(F.col("y").isNotNull()), keys, spec, day).withColumn(
         "_start", validation_start(day, ratio, keys)
     )
     held_out = marked.filter(F.col(day) >= F.col("_start"))
-    index = F.row_number().over(W.partitionBy(*keys).orderBy(day)) - 1
+    index = F.row_number().over(by_day(keys, day)) - 1
+    prediction = spec.mix(F.col("trailing_mean_7"), F.col("same_weekday_median_8w"))
+    if strict:
+        prediction = _insist(prediction)
     return held_out.select(
         *keys,
         index.cast("bigint").alias("sample_idx"),
@@ -85,10 +91,15 @@ def baseline_backtest(
         F.col("y").alias("y_true"),
         "trailing_mean_7",
         "same_weekday_median_8w",
-        spec.mix(F.col("trailing_mean_7"), F.col("same_weekday_median_8w")).alias("y_pred"),
+        prediction.alias("y_pred"),
     )
 
 
+def _insist(prediction: Column) -> Column:
+    problem = F.raise_error(F.lit("not enough history to predict")).cast("double")
+    return F.coalesce(prediction, problem)
+
+
 def check_horizon(days: int) -> int:
     if not 1 <= days <= 365:
         raise ValueError("a forecast covers 1 to 365 days")
@@ -150,9 +161,7 @@ def baseline_forecast(
     ).drop("_medians")
     prediction = spec.mix(F.col("trailing_mean_7"), F.col("same_weekday_median_8w"))
     if strict:
-        prediction = F.coalesce(
-            prediction, F.raise_error(F.lit("not enough history to predict")).cast("double")
-        )
+        prediction = _insist(prediction)
     return picked.withColumn("prediction", prediction)
 
 
@@ -232,14 +241,14 @@ def baseline_grid(
     *,
     ratio: float = 0.2,
     day: str = DAY,
+    pooled: bool = False,
 ) -> DataFrame:
     """Validation metrics of every candidate in ``grid``, all in one job.
 
     Each distinct trailing length and weekday depth is one window column, shared by all
     candidates using it. Missing validation days are interpolated first; history is not.
+    Metrics are per series, or over all of them with ``pooled``.
     """
-    from dayloom.operators.evaluate import metric_columns
-
     specs = [grid_spec(entry) for entry in grid]
     dense = time_split(complete_calendar(series, keys, day), ratio, keys, day)
     filled = interpolate_linear(
@@ -262,7 +271,8 @@ def baseline_grid(
         ]
     )
     rows = placed.filter("split = 'val'").select(*keys, "y_true", F.explode(runs).alias("run"))
-    scored = rows.select(*keys, "y_true", "run.*").groupBy(*keys, "run_id").agg(*metric_columns())
+    groups = [] if pooled else list(keys)
+    scored = rows.select(*groups, "y_true", "run.*").groupBy(*groups, "run_id").agg(*metric_columns())
     described = F.create_map(
         *[
             x
@@ -279,7 +289,7 @@ def baseline_grid(
         ]
     )
     return scored.withColumn("_p", described[F.col("run_id")]).select(
-        *keys, "run_id", "_p.*", "mae", "rmse", "mape"
+        *groups, "run_id", "_p.*", "mae", "rmse", "mape"
     )
 
 

@@ -152,6 +152,8 @@ def series_state(
         else:
             packed = table.agg(entries).filter(F.size(name) > 0)
             state = state.withColumn(name, packed.scalar())
+        # Only days to come can be asked for; a map without any stays a map.
+        state = state.withColumn(name, F.map_filter(name, lambda d, _: d > F.col("_last")))
     return state
 
 
@@ -248,10 +250,12 @@ def recursive_forecast(
 ) -> DataFrame:
     """Day-by-day forecast of a window model, each prediction feeding the following days.
 
-    All series advance together. A linear model is folded over the future days inside one
+    Model features the panel lacks are 0. All series advance together. A linear model is folded over the future days inside one
     projection. Any other fitted model transforms one row per series and day step; the steps
     are narrow (no shuffle) and the lineage is cut every ``steps_per_cut`` of them.
     """
+    absent = [c for c in features or [] if c not in panel.columns]
+    panel = panel.withColumns({c: F.lit(0.0) for c in absent}) if absent else panel
     columns = numeric_columns(panel, without=keys)
     features = list(features or columns)
     plan = Recursion(columns, features, target, window, mode)

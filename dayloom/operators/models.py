@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayloom.operators.baseline import Blend, baseline_backtest, baseline_grid
+from dayloom.operators.baseline import Blend, baseline_backtest, baseline_grid, grid_spec
 from dayloom.operators.calendar import target_series
 from dayloom.operators.evaluate import error_rows, metric_columns, select_best
 from dayloom.operators.smoothing import smoothing_backtest
@@ -177,7 +177,9 @@ def compare_models(
                 raise ValueError("a series model needs the panel")
             elif name == "baseline_tm7_sw8_blend":
                 fitted[name] = Blend()
-                found = error_rows(baseline_backtest(series, keys, ratio=ratio), name, keys)
+                found = error_rows(
+                    baseline_backtest(series, keys, ratio=ratio, strict=not keys), name, keys
+                )
             elif name == "exponential_smoothing":
                 found = error_rows(smoothing_backtest(series, keys, ratio=ratio), name, keys)
             else:
@@ -213,6 +215,14 @@ def expand_grid(grid: Mapping[str, Any] | None) -> list[dict[str, Any]]:
     return [dict(zip(grid, values)) for values in product(*axes)]
 
 
+def _is_blend(entry: Mapping[str, Any]) -> bool:
+    try:
+        grid_spec(entry)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
 GRID_RESULT = T.StructType(
     [
         T.StructField("run_id", T.IntegerType()),
@@ -238,7 +248,10 @@ def grid_search(
     ratio: float = 0.2,
     seed: int = 42,
 ) -> DataFrame:
-    """One row per combination with its metrics or error. Training data is prepared once."""
+    """One row per combination with its metrics or error. Training data is prepared once.
+
+    All baseline candidates are scored by a single job; fitted models run one after the other.
+    """
     check_ratio(ratio)
     runs = expand_grid(grid)
     now = datetime.now(timezone.utc)
@@ -252,14 +265,21 @@ def grid_search(
             fit = fit_window_model(model, train, entry, seed)
             return _score(validation_errors(model, fit, validation, keys))
 
-    elif model in SERIES_MODELS:
+    elif model == "exponential_smoothing":
+        series = target_series(panel, target, keys)
+
+        def run(entry):
+            return _score(smoothing_backtest(series, keys, ratio=ratio))
+
+    elif model == "baseline_tm7_sw8_blend":
         series = target_series(panel, target, keys)
+        usable = [entry for entry in runs if _is_blend(entry)]
+        scored = baseline_grid(series, usable, keys, ratio=ratio, pooled=True).collect() if usable else []
+        scores = {r["run_id"]: (r["mae"], r["rmse"], r["mape"]) for r in scored}
 
         def run(entry):
-            if model == "exponential_smoothing":
-                return _score(smoothing_backtest(series, keys, ratio=ratio))
-            row = baseline_grid(series, [entry], keys, ratio=ratio).first()
-            return row["mae"], row["rmse"], row["mape"]
+            grid_spec(entry)
+            return scores[usable.index(entry)]
 
     else:
         raise ValueError(f"unknown model {model!r}")

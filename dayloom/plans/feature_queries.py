@@ -168,9 +168,9 @@ def orders_pct_change_ma7(spark, folder):
         + f""", smooth AS (SELECT *, {_MA.format(
             o.over(BRAND, "created", "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING"))} FROM pct)""",
         """SELECT count(*) AS n_points, -100.0::DOUBLE AS y_low, 100.0::DOUBLE AS y_high,
-  count_if(y_pct_change < -100 OR y_pct_change > 100) AS n_clipped FROM smooth
+  count(*) FILTER (y_pct_change < -100 OR y_pct_change > 100) AS n_clipped FROM smooth
 UNION ALL SELECT count(*), -60.0::DOUBLE, 200.0::DOUBLE,
-  count_if(y_pct_change_ma7 < -60 OR y_pct_change_ma7 > 200) FROM smooth""",
+  count(*) FILTER (y_pct_change_ma7 < -60 OR y_pct_change_ma7 > 200) FROM smooth""",
     ),
 )
 def pct_change_summary(spark, folder):

@@ -142,9 +142,8 @@ def forecast_winner(
         components = [c for c in COMMERCIAL if c in daily.columns]
     else:
         raise ValueError(f"no forecast for the winning model {name!r}")
-    shaped = daily.select(
-        *keys, DAY, "series_last_date", F.round("prediction", 2).alias("prediction"), *components
-    )
+    cents = [F.round(c, 2).alias(c) for c in ("prediction", *components)]
+    shaped = daily.select(*keys, DAY, "series_last_date", *cents)
     return fill_commercial(shaped, panel, keys).withColumns(
         {
             "model_name": F.lit(name),

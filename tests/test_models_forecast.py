@@ -108,9 +108,13 @@ def test_grid_search_keeps_errors_and_first_best(spark, framed, panel):
     assert rows[1].error and rows[1].mae is None
     assert rows[0].mae == rows[2].mae
     assert models.best_run(out).first().run_id == 0
-    grid = {"baseline_trailing_days": [3, 7]}
-    tested = models.grid_search("baseline_tm7_sw8_blend", grid, panel=panel)
-    assert tested.count() == 2 and tested.filter("error IS NULL").count() == 2
+    grid = {"baseline_trailing_days": [3, "bad", 7]}
+    tested = models.grid_search("baseline_tm7_sw8_blend", grid, panel=panel).orderBy("run_id")
+    rows = tested.collect()
+    assert [r.error is None for r in rows] == [True, False, True]
+    assert rows[0].mae != rows[2].mae and rows[1].mae is None
+    smooth = models.grid_search("exponential_smoothing", {}, panel=panel).collect()
+    assert len(smooth) == 1 and smooth[0].mae > 0
     with pytest.raises(ValueError):
         models.grid_search("other", {}, windows=framed)
     with pytest.raises(ValueError):
@@ -362,3 +366,13 @@ def test_build_datasets(spark, tmp_path):
     for written in paths.values():
         assert spark.read.json(written["jsonl"]).count() == 1
         assert spark.read.csv(written["csv"], header=True).count() == 1
+
+
+def test_missing_model_features_count_as_zero(panel, ridge):
+    names = features.numeric_columns(panel)
+    whole = forecast.recursive_forecast(
+        panel.withColumn("event_start_next_1", F.lit(0.0)), ridge, 3, features=names, window=7
+    )
+    lacking = panel.drop("event_start_next_1")
+    out = forecast.recursive_forecast(lacking, ridge, 3, features=names, window=7)
+    assert column(out, "prediction") == pytest.approx(column(whole, "prediction"))

@@ -201,3 +201,21 @@ def test_keyed_window_frames_do_not_mix(spark):
     out = windows.sliding_windows(keyed, window=3, keys=["k"])
     assert out.count() == 10
     assert set(column(out.select("k", "created", F.size("X").alias("s")), "s")) == {3}
+
+
+def test_backtest_without_history(series_of):
+    # Validation starts on day 60; nothing was seen in the eight weeks before day 100.
+    values = [1.0] + [...] * 99 + [5.0] + [...] * 10 + [2.0]
+    loose = baseline.baseline_backtest(series_of(values), ratio=0.45).orderBy("created").collect()
+    assert [r.y_pred for r in loose] == [None, None]
+    with pytest.raises(Exception, match="not enough history"):
+        baseline.baseline_backtest(series_of(values), ratio=0.45, strict=True).collect()
+
+
+def test_pooled_grid_weighs_every_day(spark, series_of):
+    a, b = series_of(range(40)), series_of([7.0] * 20)
+    keyed = a.withColumn("k", F.lit("a")).unionByName(b.withColumn("k", F.lit("b")))
+    single = {r.k: r.mae for r in baseline.baseline_grid(keyed, [{}], ["k"], ratio=0.5).collect()}
+    pooled = baseline.baseline_grid(keyed, [{}], ["k"], ratio=0.5, pooled=True).collect()
+    assert len(pooled) == 1
+    assert pooled[0].mae == pytest.approx((20 * single["a"] + 10 * single["b"]) / 30)
