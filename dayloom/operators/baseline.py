@@ -17,12 +17,16 @@ from dayloom.operators.split import check_ratio, time_split, validation_start
 from dayloom.sources.tables import history_before
 
 DAY = "created"
+# Names of the revenue estimates.
 METHODS = ("blend", "trailing_mean_7", "same_weekday_median")
 
 
 @dataclass(frozen=True)
 class Blend:
-    """Parameters of the forecaster. The component columns keep their names for any lengths."""
+    """Parameters of the forecaster. The component columns keep their names for any lengths.
+
+    Fixed values: the defaults.
+    """
 
     trailing_days: int = 7
     weekday_weeks: int = 8

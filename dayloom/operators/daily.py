@@ -169,7 +169,7 @@ def combined_daily(
 
     Both inputs hold one row per (keys, day), so the full outer join runs on their existing
     hash partitioning. Days with spend only have 0 orders; spend of order-only days stays NULL.
-    Event days number at most one per calendar day, which bounds the broadcast side.
+    Distinct event days number at most one per calendar day, which bounds the broadcast side.
     """
     sides = spends.select(
         *keys, F.col("date").alias(DAY), *[c for c in (*MONEY_COLUMNS, *COUNT_COLUMNS)]
@@ -178,7 +178,8 @@ def combined_daily(
     if events is None:
         flagged = panel.withColumn("event_start", F.lit(0))
     else:
-        marks = events.select(F.col("startDate").alias(DAY), F.lit(1).alias("event_start"))
+        days = events.select(F.col("startDate").alias(DAY)).dropna().distinct()
+        marks = days.withColumn("event_start", F.lit(1))
         flagged = panel.join(F.broadcast(marks), DAY, "left")
     zero_filled = {
         c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")

@@ -115,7 +115,8 @@ def prepared_windows(
     then shuffles the compact panel rows and slides over them, and nothing before that reruns.
     """
     check_ratio(ratio)
-    flat = flat_split(finite_windows(windows), ratio, keys)
+    checked = windows.schema["X"].metadata.get("finite", False)
+    flat = flat_split(windows if checked else finite_windows(windows), ratio, keys)
     return flat.filter("split = 'train'"), flat.filter("split = 'val'")
 
 

@@ -27,8 +27,9 @@ def sliding_windows(
 ) -> DataFrame:
     """(keys, day, X, y): the ``window`` rows before each day, and that day's target.
 
-    Rows with a NULL feature are left out beforehand. Series too short for one window give no
-    row; :func:`require_windows` turns an empty result into an error.
+    Rows with a NULL feature are left out beforehand, windows touching an infinity afterwards
+    (judged row by row, not window by window; the metadata of ``X`` says so). Series too short
+    for one window give no row; :func:`require_windows` turns an empty result into an error.
     """
     if window <= 0:
         raise ValueError("window must be positive")
@@ -36,15 +37,21 @@ def sliding_windows(
         raise ValueError(f"no column {target!r}")
     features = list(features or numeric_columns(panel, without=keys))
     sound = panel.dropna(subset=[*features, target])
-    w = by_day(keys, day)
-    row = F.array(*[F.col(c).cast("double") for c in features])
+    frame = by_day(keys, day).rowsBetween(-window, -1)
+    values = [F.col(c).cast("double") for c in features]
+    y = F.col(target).cast("double")
+    limit = F.lit(float("inf"))
+    largest = F.greatest(F.lit(0.0), *[F.abs(v) for v in values])
+    marks = {"finite": True, "feature_columns": features}
     framed = sound.select(
         *keys,
         day,
-        F.collect_list(row).over(w.rowsBetween(-window, -1)).alias("X"),
-        F.col(target).cast("double").alias("y"),
+        F.collect_list(F.array(*values)).over(frame).alias("X", metadata=marks),
+        y.alias("y"),
+        F.bool_and(largest < limit).over(frame).alias("_finite"),
     )
-    return framed.filter(F.size("X") == window)
+    whole = framed.filter((F.size("X") == window) & F.col("_finite") & (F.abs("y") < limit))
+    return whole.drop("_finite")
 
 
 def require_windows(windows: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from dayloom.operators.features import feature_panel
 from dayloom.operators.forecast import COMMERCIAL, fill_commercial, recursive_forecast
 from dayloom.operators.models import Comparison, compare_models, promote, stored_panel
 from dayloom.operators.smoothing import smoothing_forecast
-from dayloom.operators.windows import sliding_windows
-from dayloom.sources.files import write_datasets
+from dayloom.operators.windows import require_windows, sliding_windows
+from dayloom.sources.files import metrics_json, write_dataset, write_datasets, write_record
 from dayloom.sources.tables import (
     HISTORY_START,
     scan_ad_spends,
@@ -82,9 +82,12 @@ def train_and_promote(
     seed: int = 42,
     path: str | None = None,
 ) -> tuple[Comparison, DataFrame]:
-    """Windows, comparison, selection and promotion; returns the comparison and winner record."""
+    """Windows, comparison, selection and promotion; returns the comparison and winner record.
+
+    With ``path``, metrics, prediction errors, the winner record and its model are stored there.
+    """
     panel = stored_panel(panel)
-    windows = sliding_windows(panel, target=target, window=window, keys=keys)
+    windows = require_windows(sliding_windows(panel, target=target, window=window, keys=keys))
     comparison = compare_models(
         windows,
         panel,
@@ -95,6 +98,10 @@ def train_and_promote(
         options=options,
         seed=seed,
     )
+    if path is not None:
+        write_record(metrics_json(comparison.metrics), f"{path}/metrics.json")
+        if comparison.errors is not None:
+            write_dataset(comparison.errors, path, "mape_distribution", "jsonl")
     return comparison, promote(comparison, target, path, metric)
 
 

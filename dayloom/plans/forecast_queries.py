@@ -369,6 +369,7 @@ def mean_y_true(spark, folder):
     return tidy(evaluate.mean_of(brand_errors(spark, folder)))
 
 
+# The candidates of the baseline grid.
 BASELINE_GRID = {
     "baseline_trailing_days": [7, 14],
     "baseline_weekday_weeks": [4, 8, 12],

@@ -103,6 +103,7 @@ def write_record(df: DataFrame, path: str) -> str:
 
 def write_windows(windows: DataFrame, path: str, features: list[str]) -> str:
     """Window tensors as Parquet; the feature order travels in the column metadata."""
+    # The finite mark stays behind: what a file holds is checked again when it is read.
     tagged = windows.withMetadata("X", {"feature_columns": list(features)})
     tagged.write.mode("overwrite").parquet(path)
     return path

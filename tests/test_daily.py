@@ -66,7 +66,7 @@ def test_combined_outer_join(spark):
         "date date, adSpend double, rcRevenue double, totalRevenue double, totalMerchSold bigint,"
         " totalNewCustomerBarsSold bigint, totalRecurringCustomerBarsSold bigint",
     )
-    events = spark.createDataFrame([(day(1),), (day(9),)], "startDate date")
+    events = spark.createDataFrame([(day(1),), (day(1),), (day(9),), (None,)], "startDate date")
     stats = daily.daily_order_stats(lines(spark))
     rows = daily.combined_daily(stats, spends, events).orderBy("created").collect()
     assert [(r.created, r.orders, r.adSpend, r.unique_customers, r.event_start) for r in rows] == [

@@ -303,6 +303,14 @@ def test_training_flow_and_winner_forecast(spark, panel, tmp_path):
     winner = record.first().asDict()
     stored = spark.read.json(f"{tmp_path}/best_model.json").first()
     assert stored.model_name == winner["model_name"]
+    errors = spark.read.json(f"{tmp_path}/mape_distribution.jsonl")
+    assert {r.model for r in errors.select("model").distinct().collect()} == {
+        "ridge", "baseline_tm7_sw8_blend",
+    }
+    metrics = spark.read.json(f"{tmp_path}/metrics.json")
+    assert files.metrics_rows(metrics).count() == 2
+    with pytest.raises(ValueError):
+        flows.train_and_promote(panel.limit(5), window=7, models=("ridge",))
     for name in ("ridge", "baseline_tm7_sw8_blend", "exponential_smoothing"):
         out = flows.forecast_winner(
             {**winner, "model_name": name}, comparison.fitted.get(name), panel, 3, window=7

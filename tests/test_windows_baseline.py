@@ -219,3 +219,14 @@ def test_pooled_grid_weighs_every_day(spark, series_of):
     pooled = baseline.baseline_grid(keyed, [{}], ["k"], ratio=0.5, pooled=True).collect()
     assert len(pooled) == 1
     assert pooled[0].mae == pytest.approx((20 * single["a"] + 10 * single["b"]) / 30)
+
+
+def test_windows_touching_an_infinity_drop(spark):
+    _, df = panel_of(spark, 12)
+    broken = df.withColumn(
+        "adSpend", F.when(F.col("created") == "2024-01-05", float("inf")).otherwise(F.col("adSpend"))
+    )
+    framed = windows.sliding_windows(broken, window=3)
+    # Targets of 5 January (finite) to 12 January, minus the three windows holding the 5th.
+    assert [str(d)[-2:] for d in column(framed, "created")] == ["04", "05", "09", "10", "11", "12"]
+    assert framed.schema["X"].metadata["finite"]
