@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dayloom.functions import cyclical, threshold_flag, weekday_of
 from dayloom.operators.baseline import check_horizon
 from dayloom.operators.features import numeric_columns
-from dayloom.session import cut_lineage
+from dayloom.session import stage
 
 DAY = "created"
 COMMERCIAL = ("adSpend", "rcRevenue", "totalRevenue")
@@ -275,7 +275,7 @@ def recursive_forecast(
 def _stepwise(state, plan, model, first, days, keys, steps_per_cut) -> DataFrame:
     begin, horizon = _horizon(F.col("_last"), first, days)
     out_type = "array<struct<day: date, prediction: double, row: array<double>>>"
-    current = cut_lineage(
+    current = stage(
         state.withColumns(
             {"_begin": begin, "_end": F.element_at(horizon, -1), "_out": F.array().cast(out_type)}
         )
@@ -311,7 +311,7 @@ def _stepwise(state, plan, model, first, days, keys, steps_per_cut) -> DataFrame
             }
         ).select(*base)
         if i % steps_per_cut == 0 and i < steps:
-            current = cut_lineage(current)
+            current = stage(current)
     return _unfold(current, plan, keys)
 
 

@@ -18,7 +18,7 @@ from dayloom.operators.calendar import target_series
 from dayloom.operators.evaluate import error_rows, metric_columns, select_best
 from dayloom.operators.smoothing import smoothing_backtest
 from dayloom.operators.split import check_ratio, flat_split
-from dayloom.session import cut_lineage
+from dayloom.session import stage
 from dayloom.sources.files import finite_windows, write_record
 
 DAY = "created"
@@ -122,7 +122,7 @@ def prepared_windows(
 
 def stored_panel(panel: DataFrame) -> DataFrame:
     """The panel written once to the shared folder, for the repeated passes of training."""
-    return cut_lineage(panel)
+    return stage(panel)
 
 
 def fit_window_model(

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dayloom.operators.features import numeric_columns
-from dayloom.session import cut_lineage
+from dayloom.session import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 _SUMMARY = "column string, count bigint, nulls bigint, mean double, min double, max double"
@@ -42,7 +42,7 @@ def profile(
     same result; the sketch only keeps the ranges even.
     """
     columns = list(columns or numeric_columns(df))
-    counts = cut_lineage(value_counts(df, columns))
+    counts = stage(value_counts(df, columns))
     n, value = F.col("n"), F.col("value")
     known = value.isNotNull()
     fractions = [i / slices for i in range(1, slices)]

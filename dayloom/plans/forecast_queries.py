@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from dayloom.plans import flows
 from dayloom.plans import oracle as o
 from dayloom.plans.catalog import query, tidy
 from dayloom.plans.oracle import BRAND, r6, with_
-from dayloom.session import shared_dir
+from dayloom.session import staged_path
 from dayloom.sources import files, overrides
 from dayloom.sources.retail import Retail
 from dayloom.streaming import closed_days
@@ -658,6 +657,6 @@ def closed_day_counts(spark, folder):
         .parquet(folder)
     )
     counts = closed_days.closed_day_counts(stream, "ts", ["event_type"])
-    run = f"{shared_dir(spark)}/closed-days-{uuid.uuid4().hex}"
+    run = staged_path(spark, "closed-days")
     closed_days.write_closed_days(counts, f"{run}/out", f"{run}/state").awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{run}/out")

@@ -1,8 +1,9 @@
-"""Session settings and the lineage-cutting helper."""
+"""Session settings and staging: intermediate tables written once below a shared folder."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,26 +30,60 @@ def build_session(app: str = "dayloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
+    """Folder that every executor can read; the caller's configuration is left as it is.
 
-    Only a local master may fall back to a temporary folder; on a cluster a
-    machine-local folder would be lost together with its machine.
+    ``spark.checkpoint.dir`` of the session or the checkpoint folder of its context; where
+    neither is set, a folder below the warehouse, which executors share by definition.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="dayloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``: survives executor loss, ends the plan here."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    return (
+        configured
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    )
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below :func:`shared_dir`, removed by :func:`clear_staged` or at exit."""
+    path = f"{shared_dir(spark).rstrip('/')}/dayloom-{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STAGED:
+        _STAGED[app] = []
+        atexit.register(_clear_at_exit, spark)
+    _STAGED[app].append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Ends the lineage with a table that outlives any executor and can be read column by column.
+    """
+    path = staged_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove what was staged: all of it, or only the files that ``frames`` read."""
+    kept = _STAGED.get(spark.sparkContext.applicationId, [])
+    files = [f for frame in frames for f in frame.inputFiles()]
+    jvm = spark.sparkContext._jvm
+    for path in list(kept):
+        mark = path.rsplit("/", 1)[1]
+        if frames and not any(f"/{mark}/" in f for f in files):
+            continue
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        kept.remove(path)
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        clear_staged(spark)
+    except Exception:  # noqa: BLE001  the session is gone, and with it the way to the folder
+        pass

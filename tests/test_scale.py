@@ -1,5 +1,7 @@
 """Exact quantiles, streaming, session rules and plan shapes."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,10 +44,16 @@ def test_profile_of_tiny_and_empty_columns(spark):
     assert got["b"]["count"] == 0 and got["b"].p50 is None and got["b"]["std"] is None
 
 
-def test_lineage_is_cut_reliably(spark):
-    cut = session.cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert cut.agg(F.sum("x")).first()[0] == 20
-    assert spark.sparkContext.getCheckpointDir() is not None
+def test_staged_tables_are_shared_and_removed(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    staged = session.stage(spark.range(5).withColumn("x", F.col("id") * 2), "test")
+    assert staged.agg(F.sum("x")).first()[0] == 20
+    folder = os.path.dirname(os.path.dirname(staged.inputFiles()[0].removeprefix("file://")))
+    mark = os.path.dirname(staged.inputFiles()[0]).rsplit("/", 1)[1]
+    assert mark in os.listdir(folder)
+    session.clear_staged(spark, staged)
+    assert mark not in os.listdir(folder)
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
 
 
 def test_order_numbers_of_a_hot_customer(spark, tmp_path):
