@@ -37,11 +37,11 @@ s AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 shared AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
   FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
-  WHERE 100 * both >= 85 * (p.n + q.n - both)),
+  WHERE 100 * common >= 85 * (p.n + q.n - common)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
