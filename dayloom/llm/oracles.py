@@ -47,3 +47,17 @@ part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w JOIN part USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+# Every query against every other vector.
+ORACLES["op2_pivot_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])) AS score
+  FROM v q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
+"""
