@@ -4,8 +4,9 @@ P(grade <= k) = sigmoid(cut_k - w.x): all thresholds share the weights w, and th
 the sum of P(grade >= k). Features are words and word beginnings, as log(1 + count), chosen by how
 much more often they occur in toxic than in other documents.
 
-The labels say toxic or not. Grade 0 is not toxic; toxic documents become grade 1 or 2 by the share
-of their words that carry toxic-only features, below or from the median of the toxic sample. The
+The labels say toxic or not. Grade 0 is not toxic; toxic documents become grade 1 or 2 by how
+much they use toxic-only features (the sum of log(1 + count)), below or from the median of the toxic
+sample. The
 model is fitted on at most ``sample`` labelled documents of either label (those of the smallest hashed
 ids) and ``top`` features; both bounds are parameters, and every document is scored on its whole text.
 
@@ -31,9 +32,9 @@ from dayloom.llm.rows import chunks, with_arrow_columns
 from dayloom.session import clear_staged, stage
 
 SAMPLE = 4000
-TOP = 2048
-LEAST = 3  # documents of the sample that a feature must occur in
-REJECT = 0.5
+TOP = 512
+LEAST, LEAST_SHARE = 3, 0.005  # toxic documents of the sample that a feature must occur in
+REJECT = 0.2  # expected severity from which a document is rejected
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6)
 
@@ -81,7 +82,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    x: np.ndarray, grades: np.ndarray, weight: np.ndarray, *, ridge: float = 1e-3, steps: int = 400
+    x: np.ndarray, grades: np.ndarray, weight: np.ndarray, *, ridge: float = 1e-5, steps: int = 800
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered cuts of the cumulative-link model by Adam over the whole sample.
 
@@ -96,7 +97,7 @@ def fit_ordinal(
         w, first_cut, gaps = parameters[: x.shape[1]], parameters[x.shape[1]], parameters[x.shape[1] + 1 :]
         cuts = first_cut + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-        score = x @ w
+        score = x @ w.astype(np.float32)
         below = _sigmoid(edges[grades + 1] - score)
         above = _sigmoid(edges[grades] - score)
         p = np.maximum(below - above, 1e-12)
@@ -106,10 +107,11 @@ def fit_ordinal(
         np.add.at(by_cut, np.minimum(grades, levels - 1), np.where(grades < levels, -share * slope_below / p, 0))
         np.add.at(by_cut, np.maximum(grades - 1, 0), np.where(grades > 0, share * slope_above / p, 0))
         tails = np.cumsum(by_cut[::-1])[::-1]
-        slope = np.concatenate([x.T @ by_score + ridge * w, [tails[0]], tails[1:] * np.exp(gaps)])
+        slope = np.concatenate([x.T @ by_score.astype(np.float32) + ridge * w, [tails[0]], tails[1:] * np.exp(gaps)])
         first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope**2
-        parameters -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        second = 0.95 * second + 0.05 * slope**2
+        pace = 0.03 * (1 - step / (steps + 1))
+        parameters -= pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-9)
     gaps = parameters[x.shape[1] + 1 :]
     return parameters[: x.shape[1]], parameters[x.shape[1]] + np.concatenate([[0], np.cumsum(np.exp(gaps))])
 
@@ -161,14 +163,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPL
     both = (F.col("toxic") + F.col("clean")) / (sizes[0] + sizes[1])
     z = (p1 - p0) / F.sqrt(both * (1 - both) + 1e-9)
     best = (
-        counts.filter(F.col("toxic") + F.col("clean") >= LEAST)
+        counts.filter(F.col("toxic") >= max(LEAST, LEAST_SHARE * sizes[1]))
         .withColumn("z", z)
-        .orderBy(F.abs("z").desc(), "feature")
+        .filter("z > 0")
+        .orderBy(F.desc("z"), "feature")
         .limit(top)
         .collect()
     )
     features = {r["feature"]: i for i, r in enumerate(best)}
-    marks = {i for i, r in enumerate(best) if r["toxic"] > 20 * r["clean"] * sizes[1] / sizes[0] and r["z"] > 0}
+    marks = {i for i, r in enumerate(best) if r["toxic"] > 20 * r["clean"] * sizes[1] / sizes[0]}
     if not features:
         return OrdinalModel()
 
@@ -179,24 +182,22 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPL
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("toxic").combine_chunks(),
-                    pa.array([len(words(t)) for t in table.column("text").to_pylist()], pa.int64()),
                     pa.array([list(r) for r in rows], pa.list_(pa.int32())),
                     pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())),
                 ],
-                names=["toxic", "n", "at", "counts"],
+                names=["toxic", "at", "counts"],
             )
 
-    rows = taught.mapInArrow(vectors, "toxic int, n long, at array<int>, counts array<int>").collect()
+    rows = taught.mapInArrow(vectors, "toxic int, at array<int>, counts array<int>").collect()
     clear_staged(documents.sparkSession, taught)
     rows.sort()
     x = np.zeros((len(rows), len(features)), np.float32)
-    dense = np.zeros(len(rows))
     toxic = np.array([r["toxic"] for r in rows])
     for i, r in enumerate(rows):
         x[i, r["at"]] = np.log1p(r["counts"])
-        dense[i] = sum(c for f, c in zip(r["at"], r["counts"], strict=True) if f in marks) / max(1, r["n"])
-    middle = np.median(dense[toxic == 1])
-    grades = np.where(toxic == 1, np.where(dense >= middle, 2, 1), 0)
+    heavy = x[:, sorted(marks)].sum(axis=1)
+    middle = np.median(heavy[toxic == 1])
+    grades = np.where(toxic == 1, np.where(heavy >= middle, 2, 1), 0)
     if not (grades == 1).any():
         grades = np.minimum(grades, 1)
     weight = np.array([totals[t] / sizes[t] for t in toxic])
