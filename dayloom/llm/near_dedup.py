@@ -9,13 +9,14 @@ Equal shingle sets are one class from the start, so exact copies of any number c
 between classes come in two passes and are always confirmed on the full sets:
 
 1. star: every member of a bucket against the bucket's smallest class;
-2. rest: pairs of a bucket whose ends the confirmed links leave in different components, compared
-   by their minhashes inside the bucket's tasks (a large bucket is dealt out in pairs of blocks)
-   and only then listed. Groups of thousands of mutual copies end in pass 1 and never list all pairs.
+2. rest: the members of buckets that the confirmed links leave in different components, gathered by
+   hub (a large group in pairs of blocks). Inside a task pairs are found by rare common shingles
+   and confirmed there; only links that join components leave it. Groups of thousands of copies,
+   similar enough or not, never list all pairs.
 
-Before texts are fetched, a pair is dropped when fewer than MATCHES of its 32 minhashes agree or its
-set sizes alone rule out the similarity; the first happens to a pair at the threshold with a chance
-of 1e-8 (binomial tail).
+Before texts are fetched in pass 1, a pair is dropped when fewer than MATCHES of its 32 minhashes
+agree or its set sizes alone rule out the similarity; the first happens to a pair at the threshold
+with a chance of 1e-8 (binomial tail). Pass 2 is exact.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own
 component; a text of fewer words than a shingle is one shingle; rows repeated whole stay repeated,
@@ -43,7 +44,7 @@ SIDE = 8
 WIDTH = 2
 MINHASHES = 2 * SIDE * WIDTH
 MATCHES = 14
-BLOCK = 2048  # members of a bucket compared in one task
+BLOCK = 512  # members of a group compared with as many others in one task
 MEMO_WORDS = 1 << 20
 
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, MINHASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,14 +162,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame, repeated: DataFrame | None) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select("doc_id", "text").join(used, "doc_id", "left_semi")
-    if repeated is not None:
-        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(
-            texts.join(repeated, "doc_id", "left_semi").dropDuplicates()
-        )
+    texts = texts.join(used, "doc_id", "left_semi")
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
@@ -191,49 +188,106 @@ def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(_alike(n_a, signs_a, n_b, signs_b)))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Alike pairs between two blocks of a bucket whose ends lie in different components."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            (a, part_a, n_a, signs_a), (b, part_b, n_b, signs_b) = (
-                (*(np.array([x[c] for x in row[side]], np.int64) for c in ("class", "part", "n")),
-                 _signs(x["signs"] for x in row[side]))
-                for side in ("left", "right")
-            )
-            for i in range(len(a)):
-                at = np.flatnonzero(part_b != part_a[i])
-                at = at[_alike(n_a[i], signs_a[i], n_b[at], signs_b[at])]
-                if len(at):
-                    ends = np.minimum(a[i], b[at]), np.maximum(a[i], b[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
-
+def similar_pairs(sets: list[np.ndarray], allowed=None, percent: int = PERCENT) -> np.ndarray:
+    """Pairs (i < j) of sorted distinct sets that may share ``percent`` of their union, by prefixes.
 
-def _rest(members: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs of the buckets that still hold several components."""
+    Tokens are ordered by how few of the sets hold them. Two similar sets have a common token among
+    the first n - ceil(percent * n) + 1 of either, and at the first common one enough tokens still
+    follow in both; pairs without such a token are not similar. ``allowed(i, j)`` may rule out more.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    none = np.zeros((0, 2), np.int64)
+    if len(sets) < 2:
+        return none
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.empty(len(counts), np.int64)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by = np.lexsort((order[inverse], owner))
+    token, shared = order[inverse][by], counts[inverse][by] > 1
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(by)) - starts[owner]
+    prefix = sizes + (-percent * sizes) // 100 + 1
+    kept = np.flatnonzero(shared & (place < prefix[owner]))
+    kept = kept[np.argsort(token[kept], kind="stable")]
+    found = [none]
+    for group in np.split(kept, np.flatnonzero(np.diff(token[kept])) + 1):
+        if len(group) < 2:
+            continue
+        who, rest = owner[group], sizes[owner[group]] - place[group]
+        for k in range(len(group) - 1):
+            other = who[k + 1 :]
+            # |a & b| >= percent / (100 + percent) * (|a| + |b|) is the similarity in terms of sizes.
+            needed = percent * (sizes[who[k]] + sizes[other])
+            near = (100 + percent) * np.minimum(rest[k], rest[k + 1 :]) >= needed
+            if allowed is not None:
+                near &= allowed(who[k], other)
+            if near.any():
+                found.append(np.stack([np.full(near.sum(), who[k]), other[near]], axis=1))
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+
+def _links_within(table: pa.Table) -> pa.Table:
+    """Links that join different components within a group of texts: a spanning forest of them."""
+    sets = [shingles(t) for t in table.column("text").to_pylist()]
+    ids, parts = table.column("class").to_pylist(), table.column("part").to_numpy()
+    blocks = table.column("block").to_numpy()
+    across = len(set(blocks.tolist())) > 1
+    root = {p: p for p in parts.tolist()}
+
+    def top(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    def allowed(i: int, others: np.ndarray) -> np.ndarray:
+        apart = parts[others] != parts[i]
+        return apart & (blocks[others] != blocks[i]) if across else apart
+
+    out = []
+    for i, j in similar_pairs(sets, allowed):
+        a, b = top(int(parts[i])), top(int(parts[j]))
+        if a != b and linked(sets[i], sets[j]):
+            root[a] = b
+            out.append((ids[i], ids[j]))
+    return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links within the buckets that still hold several components.
+
+    Members of a bucket share its hub, so they are gathered once by hub instead of once a bucket; a
+    large group is dealt out in pairs of blocks.
+    """
     placed = members.join(parts, members["class"] == parts["node"], "left").select(
-        "key", "class", F.coalesce("component", "class").alias("part")
+        "key", "hub", "class", F.coalesce("component", "class").alias("part")
     )
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"))
-        .filter("low < high")
-        .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    spread = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    groups = stage(
+        placed.join(spread.filter("low < high").select("key"), "key").select("hub", "class", "part").distinct(),
+        "groups",
     )
-    full = placed.join(mixed, "key").join(classes, "class")
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = full.select(
-        "key",
-        F.struct("class", "part", "n", "signs").alias("item"),
+    blocks = groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = groups.join(blocks, "hub").select(
+        "hub",
+        "class",
+        "part",
         F.pmod(F.xxhash64("class"), "blocks").alias("block"),
-        F.explode(others).alias("other"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
     )
-    tasks = dealt.groupBy(
-        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
-    ).agg(
-        F.collect_list(F.when(F.col("block") <= F.col("other"), F.col("item"))).alias("left"),
-        F.collect_list(F.when(F.col("block") >= F.col("other"), F.col("item"))).alias("right"),
+    used = groups.select(F.col("class").alias("doc_id")).distinct()
+    near = texts.join(used, "doc_id", "left_semi")
+    tasks = dealt.join(near, dealt["class"] == near["doc_id"]).select(
+        "hub",
+        F.least("block", "other").alias("x"),
+        F.greatest("block", "other").alias("y"),
+        "class",
+        "part",
+        "block",
+        "text",
     )
-    return tasks.select("left", "right").mapInArrow(_compared, "a long, b long").distinct()
+    return tasks.groupBy("hub", "x", "y").applyInArrow(_links_within, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -258,7 +312,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = stage(named, "classes")
     classes = named.select("class", "n", "signs")
     repeated = taking_part.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = None if repeated.isEmpty() else repeated
+    texts = documents.filter("doc_id IS NOT NULL")
+    if not repeated.isEmpty():
+        once = texts.join(repeated, "doc_id", "left_semi").dropDuplicates()
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(once)
 
     keys = classes.select("class", "signs").mapInArrow(_keyed, "key long, class long")
     shared = keys.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("top"))
@@ -270,15 +327,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     star = star.filter("class_a < class_b").join(a, "class_a").join(b, "class_b")
     star = star.withColumnsRenamed({"class_a": "a", "class_b": "b"})
     star = stage(star.mapInArrow(_alike_pairs, "a long, b long").distinct(), "star")
-    links = stage(_confirm(star, documents, repeated), "links")
+    links = stage(_confirm(star, texts), "links")
     parts = components(links)
-    rest = stage(_rest(members, classes, parts), "rest")
-    if not rest.isEmpty():
-        more = stage(_confirm(rest, documents, repeated), "links")
-        if not more.isEmpty():
-            parts = components(links.unionByName(more))
-        clear_staged(spark, more)
-    clear_staged(spark, members, star, links, rest)
+    more = stage(_rest(members, texts, parts), "links")
+    if not more.isEmpty():
+        parts = components(links.unionByName(more))
+    clear_staged(spark, members, star, links, more)
 
     linked_rows = (
         signed.drop("signs")
