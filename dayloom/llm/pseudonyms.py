@@ -224,7 +224,13 @@ KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("phone", re.compile(r"(?<![\w+])(\+\d{1,3})([ .\-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .\-]?\d{2,5}){1,5})(?!\d)"), _phone),
     ("phone", re.compile(r"(?<![\w+\-.])()(\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}([-.])\d{3}\3\d{4})(?![\w\-])"), _phone),
     ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), _ssn),
-    ("card", re.compile(r"(?<!\d)(?<!\d[.\-])\d(?:[ \-]?\d){12,18}(?!\d)(?!-\d)"), _card),
+    (
+        "card",
+        re.compile(
+            r"(?<!\d)(?<!\d[.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)(?!-\d)"
+        ),
+        _card,
+    ),
     ("date", re.compile(r"(?<![\d./\-])(?P<a>\d{1,4})(?P<mark>[-./])(?P<b>\d{1,2})(?P=mark)(?P<c>\d{1,4})(?![\d/\-]|\.\d)"), _date),
 )
 _ANY = re.compile(r"[0-9@=:]")
