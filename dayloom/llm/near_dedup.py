@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.components import components
 from dayloom.llm.rows import with_arrow_columns
+from dayloom.llm.sieve import matching, without
 from dayloom.session import clear_staged, stage
 
 SHINGLE = 5
@@ -164,8 +165,6 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = texts.join(used, "doc_id", "left_semi")
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
@@ -276,9 +275,7 @@ def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("class"), "blocks").alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
     )
-    used = groups.select(F.col("class").alias("doc_id")).distinct()
-    near = texts.join(used, "doc_id", "left_semi")
-    tasks = dealt.join(near, dealt["class"] == near["doc_id"]).select(
+    tasks = dealt.join(texts, dealt["class"] == texts["doc_id"]).select(
         "hub",
         F.least("block", "other").alias("x"),
         F.greatest("block", "other").alias("y"),
@@ -312,10 +309,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = stage(named, "classes")
     classes = named.select("class", "n", "signs")
     repeated = taking_part.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    texts = documents.filter("doc_id IS NOT NULL")
-    if not repeated.isEmpty():
-        once = texts.join(repeated, "doc_id", "left_semi").dropDuplicates()
-        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(once)
 
     keys = classes.select("class", "signs").mapInArrow(_keyed, "key long, class long")
     shared = keys.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("top"))
@@ -327,12 +320,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     star = star.filter("class_a < class_b").join(a, "class_a").join(b, "class_b")
     star = star.withColumnsRenamed({"class_a": "a", "class_b": "b"})
     star = stage(star.mapInArrow(_alike_pairs, "a long, b long").distinct(), "star")
+    # The texts of classes that share a bucket with another one are fetched once.
+    met = members.select(F.col("class").alias("doc_id")).distinct()
+    texts = matching(documents, met, "doc_id")
+    if not repeated.isEmpty():
+        once = texts.join(repeated, "doc_id", "left_semi").dropDuplicates()
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(once)
+    texts = stage(texts, "texts")
     links = stage(_confirm(star, texts), "links")
     parts = components(links)
     more = stage(_rest(members, texts, parts), "links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
-    clear_staged(spark, members, star, links, more)
+    clear_staged(spark, members, star, texts, links, more)
 
     linked_rows = (
         signed.drop("signs")
@@ -355,13 +355,11 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Of rows repeated with that doc_id one stays; rows without a doc_id stay.
     """
-    found = near_duplicates(documents)
-    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
-    kept = stage(kept, "kept")
-    once = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
-    many = kept.filter("count > 1").select("doc_id")
+    found = stage(near_duplicates(documents).select("doc_id", "kept"), "kept")
+    once = without(documents, found.filter("NOT kept").select("doc_id").distinct(), "doc_id")
+    many = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    many = many.select("doc_id")
     if not many.isEmpty():
-        repeated = once.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        once = once.join(many, "doc_id", "left_anti").unionByName(repeated)
-    rest = documents.filter("doc_id IS NULL")
-    return once.unionByName(rest).select(*documents.columns)
+        repeated = matching(once, many, "doc_id").dropDuplicates(["doc_id"])
+        once = without(once, many, "doc_id").unionByName(repeated)
+    return once
