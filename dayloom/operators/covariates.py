@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dayloom.functions import clean_number, day_of, weekday_of
@@ -14,7 +15,7 @@ from dayloom.operators.calendar import (
     interpolate_linear,
     target_series,
 )
-from dayloom.operators.split import interpolate_split
+from dayloom.operators.split import cut_index, interpolate_split
 
 DAY = "created"
 
@@ -74,12 +75,29 @@ def model_frame(
     ).withColumnRenamed("y", target)
 
 
-def ad_spend_scale(frame: DataFrame, cutoff: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean and sample std of log1p spend over rows with ``time_idx <= cutoff`` (std 0 or NULL: 1)."""
+def ad_spend_scale(
+    frame: DataFrame,
+    keys: Sequence[str] = (),
+    *,
+    ratio: float | None = None,
+    cutoff: int | None = None,
+) -> DataFrame:
+    """Mean and sample std of log1p spend over the training rows (std 0 or NULL: 1).
+
+    With ``ratio`` those are the first rows of each series by ``time_idx``, cut as the time split
+    cuts them; with ``cutoff`` the rows up to that index of every series.
+    """
+    if (ratio is None) == (cutoff is None):
+        raise ValueError("give either ratio or cutoff")
+    if ratio is not None:
+        rows = F.count(F.lit(1)).over(W.partitionBy(*keys))
+        frame = frame.withColumn("_train", F.col("time_idx") < cut_index(rows, ratio))
+    else:
+        frame = frame.withColumn("_train", F.col("time_idx") <= cutoff)
     logged = F.log1p(F.coalesce(clean_number("adSpend"), F.lit(0.0)))
     std = F.stddev_samp(logged)
     return (
-        frame.filter(F.col("time_idx") <= cutoff)
+        frame.filter("_train")
         .groupBy(*keys)
         .agg(
             F.avg(logged).alias("log_mean"),

@@ -152,10 +152,17 @@ def product_launches(units: DataFrame, label: str = "product_label") -> DataFram
 
 
 def since_launch(
-    units: DataFrame, launches: DataFrame | None = None, label: str = "product_label"
+    units: DataFrame,
+    launches: DataFrame | None = None,
+    label: str = "product_label",
+    *,
+    zeros: bool = False,
 ) -> DataFrame:
-    """Rows of each launched product from its launch day on."""
+    """Rows of each launched product from its launch day on; with ``zeros`` also the observed days
+    without a sale (see :func:`product_matrix`)."""
     launches = product_launches(units, label) if launches is None else launches
+    if zeros:
+        units = product_matrix(units, label)
     return units.join(launches, label).filter(F.col(DAY) >= F.col("launch_day"))
 
 

@@ -145,12 +145,15 @@ def series_state(
             state = state.withColumn(name, empty)
             continue
         on = [k for k in keys if k in table.columns]
-        # Overrides cover single days of one horizon: at most one entry per day and series.
-        entries = F.map_from_entries(F.collect_list(F.struct(DAY, "value"))).alias(name)
+        # Only days to come are gathered: at most one entry per day of one horizon and series.
+        ends = state.groupBy(*on).agg(F.min("_last").alias("_end"))
+        ahead = F.when(F.col(DAY) > F.col("_end"), F.struct(DAY, "value"))
+        entries = F.map_from_entries(F.collect_list(ahead)).alias(name)
         if on:
-            state = state.join(table.groupBy(*on).agg(entries), on, "left")
+            state = state.join(table.join(ends, on).groupBy(*on).agg(entries), on, "left")
         else:
-            packed = table.agg(entries).filter(F.size(name) > 0)
+            dated = table.withColumn("_end", ends.select("_end").scalar())
+            packed = dated.agg(entries, F.count(F.lit(1)).alias("_n")).filter("_n > 0").select(name)
             state = state.withColumn(name, packed.scalar())
         # Only days to come can be asked for; a map without any stays a map.
         state = state.withColumn(name, F.map_filter(name, lambda d, _: d > F.col("_last")))
@@ -241,23 +244,33 @@ def recursive_forecast(
     *,
     features: Sequence[str] | None = None,
     target: str = "orders",
-    window: int = 28,
+    window: int | None = None,
     first: str | None = None,
     ad_spend: DataFrame | None = None,
     events: DataFrame | None = None,
     mode: str = "reference",
-    steps_per_cut: int = 7,
+    steps_per_cut: int = 2,
 ) -> DataFrame:
     """Day-by-day forecast of a window model, each prediction feeding the following days.
 
-    Model features the panel lacks are 0. All series advance together. A linear model is folded over the future days inside one
-    projection. Any other fitted model transforms one row per series and day step; the steps
-    are narrow (no shuffle) and the lineage is cut every ``steps_per_cut`` of them.
+    Inputs are taken by name: ``features`` and ``window``, by default those the model was fitted
+    with, whatever columns the panel has besides and in whatever order. Features the panel lacks
+    are 0. A model of another input length, or one that does not know its inputs while none are
+    given, raises.
+
+    All series advance together. A linear model is folded over the future days inside one
+    projection. Any other fitted model transforms one row per series and day step; the steps are
+    narrow (no shuffle), and every ``steps_per_cut`` of them the finished rows are written out.
     """
-    absent = [c for c in features or [] if c not in panel.columns]
+    features = list(features or getattr(model, "feature_columns", None) or [])
+    window = window or getattr(model, "window", None) or 28
+    if not features:
+        raise ValueError("the model does not know its inputs; name them in features")
+    if model.numFeatures != len(features) * window:
+        raise ValueError(f"{model.numFeatures} model inputs, but {len(features)} features x {window}")
+    absent = [c for c in features if c not in panel.columns]
     panel = panel.withColumns({c: F.lit(0.0) for c in absent}) if absent else panel
     columns = numeric_columns(panel, without=keys)
-    features = list(features or columns)
     plan = Recursion(columns, features, target, window, mode)
     state = series_state(panel, plan, keys, ad_spend=ad_spend, events=events)
     if hasattr(model, "coefficients"):
@@ -281,9 +294,7 @@ def _stepwise(state, plan, model, first, days, keys, steps_per_cut) -> DataFrame
         )
     )
     steps = current.agg(F.max(F.datediff("_end", "_last"))).first()[0] or 0
-    if steps > 2 * 365:
-        raise ValueError("the first day lies too far beyond the end of a series")
-    base = current.columns
+    base, done = current.columns, []
     for i in range(1, steps + 1):
         day = F.date_add("_last", i)
         row = plan.next_row(F.col("_rows"), day, F.col("_spend"), F.col("_event"))
@@ -311,8 +322,14 @@ def _stepwise(state, plan, model, first, days, keys, steps_per_cut) -> DataFrame
             }
         ).select(*base)
         if i % steps_per_cut == 0 and i < steps:
+            # Finished rows stay in this chunk's files; only the state goes on.
             current = stage(current)
-    return _unfold(current, plan, keys)
+            done.append(_unfold(current, plan, keys))
+            current = current.withColumn("_out", F.array().cast(out_type))
+    whole = _unfold(current, plan, keys)
+    for part in done:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def fill_commercial(

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from itertools import product
 from typing import Any
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel,
+    GBTRegressor,
+    LinearRegression,
+    LinearRegressionModel,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +101,8 @@ WINDOW_MODELS: dict[str, Callable] = {
     "catboost": boosted("catboost", "iterations", "depth", (500, 6, 0.05, 1.0, 1.0)),
 }
 SERIES_MODELS = ("baseline_tm7_sw8_blend", "exponential_smoothing")
+# Parameters of a configuration that have no counterpart in MLlib.
+NO_EFFECT = ("random_forest_min_samples_split",)
 METRIC_ROW = "model string, mae double, rmse double, mape double, error string"
 
 
@@ -128,7 +138,17 @@ def stored_panel(panel: DataFrame) -> DataFrame:
 def fit_window_model(
     name: str, train: DataFrame, options: Mapping[str, Any] | None = None, seed: int = 42
 ):
-    return WINDOW_MODELS[name](train, options or {}, seed).fit(train)
+    """A fitted model that knows its inputs: ``feature_columns`` in order, and ``window``."""
+    model = WINDOW_MODELS[name](train, options or {}, seed).fit(train)
+    return named_inputs(model, train.schema[FEATURES].metadata.get("feature_columns"))
+
+
+def named_inputs(model, features: Sequence[str] | None):
+    """Attach the names of the inputs to a model, and the window length that follows from them."""
+    if features:
+        model.feature_columns = list(features)
+        model.window = model.numFeatures // len(features)
+    return model
 
 
 def validation_errors(
@@ -188,10 +208,11 @@ def compare_models(
             if align and name in SERIES_MODELS:
                 found = found.join(validation.select(*keys, DAY), [*keys, DAY], "left_semi")
                 found = found.select(*errors[0].columns) if errors else found
+            found = stage(found, "errors")  # scored here and written later, computed once
             rows.append((name, *_score(found), None))
             errors.append(found)
         except Exception as problem:  # noqa: BLE001 - one failing model never ends the comparison
-            rows.append((name, None, None, None, str(problem)[:500]))
+            rows.append((name, None, None, None, str(problem)))
     table = None
     for part in errors:
         table = part if table is None else table.unionByName(part)
@@ -284,12 +305,18 @@ def grid_search(
 
     else:
         raise ValueError(f"unknown model {model!r}")
+    # Entries that differ in a parameter without effect only are one run.
+    done: dict[str, tuple] = {}
     for i, entry in enumerate(runs):
         text = {k: str(v) for k, v in entry.items()}
-        try:
-            rows.append((i, model, text, *run(entry), None, now))
-        except Exception as problem:  # noqa: BLE001 - a failing run is a result row
-            rows.append((i, model, text, None, None, None, str(problem)[:500], now))
+        effective = {k: v for k, v in entry.items() if k not in NO_EFFECT}
+        key = repr(sorted(effective.items()))
+        if key not in done:
+            try:
+                done[key] = (*run(effective), None)
+            except Exception as problem:  # noqa: BLE001 - a failing run is a result row
+                done[key] = (None, None, None, str(problem))
+        rows.append((i, model, text, *done[key], now))
     return spark.createDataFrame(rows, GRID_RESULT)
 
 
@@ -307,17 +334,60 @@ def best_run(results: DataFrame, metric: str = "mae") -> DataFrame:
 def promote(
     comparison: Comparison, target: str, path: str | None = None, metric: str = "mae"
 ) -> DataFrame:
-    """Winner record (one row); with ``path`` the record and the fitted model are stored there."""
+    """Winner record (one row); with ``path`` the record and the fitted model are stored there.
+
+    The record names the model's inputs in order, its window and, for the blend, its parameters,
+    so that :func:`load_winner` and a forecast need nothing but the path.
+    """
     best = select_best(comparison.metrics, metric)
-    record = best.withColumns(
-        {"target_col": F.lit(target), "predict_strategy": F.lit("winner")}
-    )
-    row = record.first()
+    row = best.first()
     if row is None:
         raise ValueError(f"no model has a usable {metric}")
+    model = comparison.fitted.get(row["model_name"])
+    features = getattr(model, "feature_columns", None)
+    blend = asdict(model) if isinstance(model, Blend) else None
+    record = best.withColumns(
+        {
+            "target_col": F.lit(target),
+            "predict_strategy": F.lit("winner"),
+            "features": F.array(*[F.lit(f) for f in features or []]) if features else F.lit(None).cast("array<string>"),
+            "window": F.lit(getattr(model, "window", None)).cast("int"),
+            "blend": F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in blend.items()]))
+            if blend
+            else F.lit(None).cast("string"),
+        }
+    )
     if path is not None:
-        model = comparison.fitted.get(row["model_name"])
         if hasattr(model, "write"):
             model.write().overwrite().save(f"{path}/best_model")
         write_record(record, f"{path}/best_model.json")
     return record
+
+
+LOADERS = {
+    "linear_regression": LinearRegressionModel,
+    "ridge": LinearRegressionModel,
+    "random_forest": RandomForestRegressionModel,
+    "xgboost": GBTRegressionModel,
+    "catboost": GBTRegressionModel,
+}
+
+
+def load_winner(spark: SparkSession, path: str) -> tuple[dict[str, Any], Any]:
+    """(record, model) stored by :func:`promote`: what a forecast needs."""
+    row = spark.read.schema(WINNER).json(f"{path}/best_model.json").first()
+    if row is None:
+        raise ValueError(f"no winner is stored in {path}")
+    record = row.asDict()
+    name = record["model_name"]
+    if name in LOADERS:
+        model = named_inputs(LOADERS[name].load(f"{path}/best_model"), record["features"])
+    else:
+        model = Blend(**json.loads(record["blend"])) if record["blend"] else None
+    return record, model
+
+
+WINNER = (
+    "model_name string, metric_name string, metric_value double, target_col string, "
+    "predict_strategy string, features array<string>, window int, blend string"
+)

@@ -59,5 +59,9 @@ def flat_split(
     """(keys, day, split, features, y): windows flattened to ML vectors with their part."""
     parts = time_split(windows.select(*keys, day, "X", "y"), ratio, keys, day)
     return parts.select(
-        *keys, day, "split", array_to_vector(F.flatten("X")).alias("features"), "y"
+        *keys,
+        day,
+        "split",
+        array_to_vector(F.flatten("X")).alias("features", metadata=windows.schema["X"].metadata),
+        "y",
     )

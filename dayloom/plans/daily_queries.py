@@ -148,7 +148,8 @@ WHERE order_number_for_customer = 1 GROUP BY ALL""",
     ),
 )
 def daily_new_customers(spark, folder):
-    return daily.daily_new_customers(Retail(spark, folder).order_facts(numbered=True))
+    facts = Retail(spark, folder).order_facts(flagged=True)
+    return daily.daily_new_customers(facts, first_order=F.col("first_order"))
 
 
 @query(
@@ -228,7 +229,26 @@ _TYPES = ("ECONOMY", "STANDARD", "PROMO", "LARGE", "SMALL", "MEDIUM")
     ),
 )
 def product_pivot_wide(spark, folder):
-    return daily.product_pivot(Retail(spark, folder).product_days("p_type"), _TYPES)
+    units = Retail(spark, folder).product_days("p_type").filter("product_label IS NOT NULL")
+    labels = [r[0] for r in units.select("product_label").distinct().orderBy("product_label").collect()]
+    return daily.product_pivot(units, labels)
+
+
+@query(
+    "product_since_launch",
+    with_(
+        o.LINES
+        + """, units AS (
+  SELECT created, p_type AS product_label, sum(quantity) AS quantity FROM lines GROUP BY ALL),
+launches AS (
+  SELECT product_label, min(created) AS launch_day FROM units WHERE quantity > 1 GROUP BY ALL)""",
+        """SELECT d.created, l.product_label, launch_day, coalesce(quantity, 0.0) AS quantity
+FROM (SELECT DISTINCT created FROM units) d JOIN launches l ON d.created >= launch_day
+LEFT JOIN units u ON u.created = d.created AND u.product_label = l.product_label""",
+    ),
+)
+def product_since_launch(spark, folder):
+    return daily.since_launch(Retail(spark, folder).product_days("p_type"), zeros=True)
 
 
 @query(

@@ -283,16 +283,44 @@ def model_frame(spark, folder):
         o.trimmed(BRAND)
         + f""", frame AS (
   SELECT p_brand, ln(1 + coalesce(adSpend, 0.0)) AS v,
-    row_number() {o.over(BRAND, "created")} - 1 AS i FROM trimmed)""",
+    row_number() {o.over(BRAND, "created")} - 1 AS i, count(*) {o.over(BRAND)} AS n FROM trimmed)""",
         f"""SELECT p_brand, {r6("avg(v)", "log_mean")},
   {r6("coalesce(nullif(stddev_samp(v), 0), 1.0)", "log_std")}
-FROM frame WHERE i <= 1000 GROUP BY p_brand""",
+FROM frame WHERE i < trunc(n * {o.TRAIN}) GROUP BY p_brand""",
     ),
 )
 def adspend_scale(spark, folder):
-    rows = trimmed_by_brand(spark, folder)
+    return tidy(covariates.ad_spend_scale(_indexed(spark, folder), [BRAND], ratio=RATIO))
+
+
+def _indexed(spark, folder):
     index = F.row_number().over(calendar.by_day([BRAND])) - 1
-    return tidy(covariates.ad_spend_scale(rows.withColumn("time_idx", index), 1000, [BRAND]))
+    return trimmed_by_brand(spark, folder).withColumn("time_idx", index)
+
+
+@query(
+    "adspend_scaled",
+    with_(
+        o.trimmed(BRAND)
+        + f""", frame AS (
+  SELECT p_brand, created, ln(1 + coalesce(adSpend, 0.0)) AS v, coalesce(adSpend, 0.0) AS spend,
+    row_number() {o.over(BRAND, "created")} - 1 AS i, count(*) {o.over(BRAND)} AS n FROM trimmed),
+scale AS (
+  SELECT p_brand, avg(v) AS m, coalesce(nullif(stddev_samp(v), 0), 1.0) AS s
+  FROM frame WHERE i < trunc(n * {o.TRAIN}) GROUP BY p_brand)""",
+        f"""SELECT p_brand, created, {r6("(v - m) / s", "scaled")},
+  CAST(0 AS DOUBLE) AS lost FROM frame JOIN scale USING (p_brand)""",
+    ),
+)
+def adspend_scaled(spark, folder):
+    """Spend scaled with its training statistics, and what the inverse of that loses."""
+    rows = _indexed(spark, folder)
+    scale = covariates.ad_spend_scale(rows, [BRAND], ratio=RATIO)
+    rows = rows.withColumn("_spend", F.coalesce("adSpend", F.lit(0.0)))
+    scaled = covariates.scale_ad_spend(rows, scale, [BRAND]).join(scale, BRAND)
+    restored = covariates.unscale_ad_spend(F.col("adSpend"), F.struct("log_mean", "log_std"))
+    lost = F.round(restored - F.col("_spend"), 4) + F.lit(0.0)
+    return tidy(scaled.select(BRAND, DAY, F.col("adSpend").alias("scaled"), lost.alias("lost")))
 
 
 def _panel_sql(key=None):
@@ -389,3 +417,31 @@ stats AS (
 def standardize_windows(spark, folder):
     panel = Retail(spark, folder).panel(BRAND)
     return tidy(windows.window_scaler(panel, list(o.FEATURES), keys=[BRAND]))
+
+
+@query(
+    "standardized_windows",
+    with_(
+        o.panel()
+        + f""", placed AS (
+  SELECT *, row_number() {o.over(None, "created")} - 1 AS i, count(*) {o.over(None)} AS n FROM panel),
+targets AS (SELECT i AS j, orders AS y FROM placed WHERE i >= 28 AND i < 28 + trunc((n - 28) * {o.TRAIN})),
+seen AS (SELECT placed.* FROM placed JOIN targets ON i BETWEEN j - 28 AND j - 1),
+inputs AS (SELECT avg(orders) AS m, coalesce(nullif(stddev_pop(orders), 0), 1) AS s FROM seen),
+goal AS (SELECT avg(y) AS m, coalesce(nullif(stddev_pop(y), 0), 1) AS s FROM targets),
+framed AS (
+  SELECT created, i, orders, sum(orders) {o.over(None, "created", "ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING")} AS total
+  FROM placed)""",
+        f"""SELECT created, {r6("(orders - goal.m) / goal.s", "y")},
+  {r6("(total - 28 * inputs.m) / inputs.s", "sum_orders")} FROM framed, inputs, goal WHERE i >= 28""",
+    ),
+)
+def standardized_windows(spark, folder):
+    """Target and summed order inputs of every window, standardised by the training windows."""
+    panel = Retail(spark, folder).panel()
+    scaler = windows.window_scaler(panel, list(o.FEATURES))
+    framed = windows.sliding_windows(panel, list(o.FEATURES))
+    scaled = windows.standardize_windows(framed, scaler, list(o.FEATURES))
+    at = o.FEATURES.index("orders")
+    total = F.aggregate(F.transform("X", lambda r: r[at]), F.lit(0.0), lambda a, v: a + v)
+    return tidy(scaled.select(DAY, "y", total.alias("sum_orders")))

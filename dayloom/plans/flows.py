@@ -13,7 +13,13 @@ from dayloom.operators.calendar import target_series, trim_last_day
 from dayloom.operators.daily import combined_daily, daily_order_stats
 from dayloom.operators.features import feature_panel
 from dayloom.operators.forecast import COMMERCIAL, fill_commercial, recursive_forecast
-from dayloom.operators.models import Comparison, compare_models, promote, stored_panel
+from dayloom.operators.models import (
+    Comparison,
+    compare_models,
+    load_winner,
+    promote,
+    stored_panel,
+)
 from dayloom.operators.smoothing import smoothing_forecast
 from dayloom.operators.windows import require_windows, sliding_windows
 from dayloom.sources.files import metrics_json, write_dataset, write_datasets, write_record
@@ -114,11 +120,15 @@ def forecast_winner(
     *,
     first: str | None = None,
     target: str = "orders",
-    window: int = 28,
+    features: Sequence[str] | None = None,
+    window: int | None = None,
     ad_spend: DataFrame | None = None,
     events: DataFrame | None = None,
 ) -> DataFrame:
-    """Forecast with the promoted model, commercial columns and provenance attached."""
+    """Forecast with the promoted model, commercial columns and provenance attached.
+
+    ``features`` and ``window`` default to what the winner record or the model itself says.
+    """
     name = winner["model_name"]
     if name == "baseline_tm7_sw8_blend":
         series = target_series(panel, target, keys, complete=False)
@@ -140,8 +150,9 @@ def forecast_winner(
             model,
             days,
             keys,
+            features=features or winner.get("features"),
             target=target,
-            window=window,
+            window=window or winner.get("window"),
             first=first,
             ad_spend=ad_spend,
             events=events,
@@ -162,3 +173,11 @@ def forecast_winner(
             "future_overrides_supported": F.lit(name in OVERRIDABLE),
         }
     )
+
+
+def forecast_stored(path: str, panel: DataFrame, days: int, keys: Sequence[str] = (), **options) -> DataFrame:
+    """Forecast with the winner that :func:`train_and_promote` stored below ``path``."""
+    winner, model = load_winner(panel.sparkSession, path)
+    return forecast_winner(
+        winner, model, panel, days, keys, target=winner["target_col"] or "orders", **options
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dayloom.operators import (
@@ -446,6 +447,8 @@ last_day AS (
 
 def _shifted_overrides(trimmed):
     """Overrides for the two weeks after a panel's end, taken from its last two weeks."""
+    last = trimmed.groupBy(BRAND).agg(F.max(DAY).alias("_last"))
+    trimmed = trimmed.join(last, BRAND).filter(F.col(DAY) > F.date_sub("_last", 14))
     day = F.date_add(DAY, 14).alias(DAY)
     spend = trimmed.filter((F.weekday(DAY) < 5) & F.col("adSpend").isNotNull()).select(
         BRAND, day, F.col("adSpend").alias("value")
@@ -554,21 +557,18 @@ def ridge_backtest(spark, folder):
 
 @query("rf_backtest")
 def rf_backtest(spark, folder):
-    return _window_model_errors(
-        spark, folder, "random_forest", {"random_forest_n_estimators": 20}
-    )
+    return _window_model_errors(spark, folder, "random_forest")
 
 
 @query("gbt_backtest")
 def gbt_backtest(spark, folder):
-    options = {"xgboost_n_estimators": 10, "xgboost_learning_rate": 0.2}
-    return _window_model_errors(spark, folder, "xgboost", options)
+    return _window_model_errors(spark, folder, "xgboost")
 
 
 @query("model_comparison")
 def model_comparison(spark, folder):
     panel, framed = _global_windows(spark, folder)
-    chosen = ("ridge", "baseline_tm7_sw8_blend", "exponential_smoothing", "sarima")
+    chosen = (*models.WINDOW_MODELS, *models.SERIES_MODELS, "sarima")
     return models.compare_models(framed, panel, models=chosen).metrics
 
 
@@ -605,6 +605,121 @@ def recursive_forecast(spark, folder):
     )
 
 
+@query("forest_forecast")
+def forest_forecast(spark, folder):
+    """Recursive forecast of a forest, first predicting three days after the panel's end."""
+    panel, framed = _global_windows(spark, folder)
+    train, _ = models.prepared_windows(framed, RATIO)
+    fitted = models.fit_window_model("random_forest", train)
+    first = panel.agg(F.date_add(F.max(DAY), 4).cast("string")).first()[0]
+    winner = {"model_name": "random_forest", "metric_name": "mae", "metric_value": None}
+    return flows.forecast_winner(winner, fitted, panel, HORIZON, first=first)
+
+
+def _one_input(spark, folder, name):
+    """Errors of a window model that sees yesterday's orders only."""
+    panel = models.stored_panel(Retail(spark, folder).panel())
+    train, validation = models.prepared_windows(
+        windows.sliding_windows(panel, ["orders"], window=1), RATIO
+    )
+    fitted = models.fit_window_model(name, train)
+    found = models.validation_errors(name, fitted, validation)
+    return tidy(found.select(DAY, "y_true", "y_pred"))
+
+
+def _one_input_sql(penalty):
+    """Least squares in closed form, the penalty on the slope alone."""
+    return with_(
+        o.panel()
+        + f""", framed AS (
+  SELECT created, orders AS y, lag(orders) {o.over(None, "created")} AS x FROM panel),
+placed AS (
+  SELECT *, row_number() {o.over(None, "created")} - 1 AS i, count(*) {o.over(None)} AS n
+  FROM framed WHERE x IS NOT NULL),
+sums AS (
+  SELECT avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx
+  FROM placed WHERE i < trunc(n * {o.TRAIN})),
+line AS (SELECT mx, my, sxy / (sxx + {penalty}) AS slope FROM sums)""",
+        f"""SELECT created, {r6("y", "y_true")}, {r6("my + slope * (x - mx)", "y_pred")}
+FROM placed, line WHERE i >= trunc(n * {o.TRAIN})""",
+    )
+
+
+@query("lr_backtest_one_input", _one_input_sql("0"))
+def lr_backtest_one_input(spark, folder):
+    return _one_input(spark, folder, "linear_regression")
+
+
+@query("ridge_backtest_one_input", _one_input_sql("5.0"))
+def ridge_backtest_one_input(spark, folder):
+    return _one_input(spark, folder, "ridge")
+
+
+@query(
+    "ridge_optimality",
+    with_(
+        o.panel(),
+        f"""SELECT CAST(i AS INT) AS coefficient, CAST(0 AS DOUBLE) AS residual
+FROM generate_series(0, 28 * {len(o.FEATURES)} - 1) g(i)""",
+    ),
+)
+def ridge_optimality(spark, folder):
+    """Slope of the penalised loss at the fitted ridge, by coefficient, relative to its parts."""
+    _, framed = _global_windows(spark, folder)
+    train, _ = models.prepared_windows(framed, RATIO)
+    fitted = models.fit_window_model("ridge", train)
+    weights = F.array(*[F.lit(float(w)) for w in fitted.coefficients])
+    error = F.col("prediction") - F.col("y")
+    inputs = fitted.transform(train).select(
+        F.posexplode(vector_to_array("features")).alias("coefficient", "x"), error.alias("e")
+    )
+    slope = F.sum(F.col("e") * F.col("x")) + 5.0 * F.get(weights, F.col("coefficient"))
+    size = F.sum(F.abs(F.col("e") * F.col("x"))) + 1.0
+    parts = inputs.groupBy("coefficient").agg(F.round(slope / size, 4).alias("residual"))
+    return parts.withColumn("residual", F.col("residual") + F.lit(0.0))
+
+
+@query(
+    "promoted_forecast",
+    with_(
+        _forecast_sql(None),
+        "SELECT created, series_last_date, round(prediction, 2) + 0.0 AS prediction, "
+        "'baseline_tm7_sw8_blend' AS model_name FROM blended",
+    ),
+)
+def promoted_forecast(spark, folder):
+    """Train, promote, load and forecast from the stored winner alone."""
+    series = Retail(spark, folder).series()
+    panel = models.stored_panel(series.withColumnRenamed("y", "orders"))
+    path = staged_path(spark, "winner")
+    compared = models.Comparison(
+        models.compare_models(
+            windows.sliding_windows(panel, ["orders"]), panel, models=("baseline_tm7_sw8_blend",)
+        ).metrics,
+        None,
+        {"baseline_tm7_sw8_blend": baseline.Blend()},
+    )
+    models.promote(compared, "orders", path)
+    out = flows.forecast_stored(path, panel, HORIZON)
+    return out.select(DAY, "series_last_date", (F.col("prediction") + F.lit(0.0)).alias("prediction"), "model_name")
+
+
+@query(
+    "baseline_forecast_from",
+    with_(
+        _forecast_sql(BRAND, HORIZON + 90),
+        f"""SELECT p_brand, created, series_last_date, {', '.join(r6(c) for c in (*_COMPONENTS, "prediction"))}
+FROM blended WHERE created >= (SELECT max(last) + 4 FROM lasts)
+  AND created < (SELECT max(last) + {4 + HORIZON} FROM lasts)""",
+    ),
+)
+def baseline_forecast_from(spark, folder):
+    """A forecast whose first day lies three days beyond the end of the series."""
+    series = Retail(spark, folder).series(BRAND)
+    first = series.agg(F.date_add(F.max(DAY), 4).cast("string")).first()[0]
+    return tidy(baseline.baseline_forecast(series, HORIZON, [BRAND], first=first))
+
+
 @query("holt_winters_forecast")
 def holt_winters_forecast(spark, folder):
     series = calendar.complete_calendar(Retail(spark, folder).series(BRAND), [BRAND])

@@ -228,9 +228,5 @@ METRICS = """avg(abs(y_true - y_pred)) AS mae,
     sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse, avg(mape) AS mape"""
 
 
-def rounded(names, doubles) -> str:
-    return ", ".join(r6(n) if n in doubles else n for n in names)
-
-
 def with_(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"

@@ -96,8 +96,10 @@ def write_datasets(tables: Mapping[str, DataFrame], base: str, fmt: str = "parqu
 
 
 def write_record(df: DataFrame, path: str) -> str:
-    """A one-row result as a single JSON file, committed atomically."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A result of exactly one row as a single JSON file, committed atomically."""
+    if len(df.take(2)) != 1:
+        raise ValueError("a record is exactly one row")
+    df.coalesce(1).write.mode("overwrite").json(path)
     return path
 
 

@@ -13,6 +13,7 @@ from dayloom.operators.daily import combined_daily, daily_counts, daily_order_st
 from dayloom.operators.features import feature_panel
 
 DAY = "created"
+ID_RANGE = 1 << 16  # order ids ranked together within a customer's day
 
 
 class Retail:
@@ -47,25 +48,58 @@ class Retail:
         return self.table("part").select(F.col("p_partkey").alias("productId"), *columns)
 
     def numbered_orders(self) -> DataFrame:
-        """Orders with the running number of each customer's orders.
+        """Orders with the running number of each customer's orders; NULL without a customer.
 
         A customer's days are counted first and only those totals are accumulated per customer
-        (one row per calendar day at most); single orders are ranked within their day. So no
-        task ever holds all orders of a customer, and the result is partitioned by customer and
-        day, which leaves a later join by order id free to split a hot order at run time.
+        (one row per calendar day at most), then the ranges of ID_RANGE ids within a day; single
+        orders are ranked within their range. So no task ever holds all orders of a customer or
+        of a customer's day, and a later join by order id is free to split a hot order.
         """
-        orders = self.orders()
-        per_day = orders.groupBy("customerId", DAY).agg(F.count(F.lit(1)).alias("_n"))
-        earlier = W.partitionBy("customerId").orderBy(DAY).rowsBetween(W.unboundedPreceding, -1)
-        offsets = per_day.select(
-            "customerId", DAY, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        orders = self.orders().withColumn("_range", F.floor(F.col("id") / ID_RANGE))
+        known = orders.filter(F.col("customerId").isNotNull() & F.col(DAY).isNotNull())
+        per_range = known.groupBy("customerId", DAY, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        per_day = per_range.groupBy("customerId", DAY).agg(F.sum("_n").alias("_n"))
+
+        def before(*within: str, by: str):
+            rows = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+            return F.coalesce(F.sum("_n").over(rows), F.lit(0))
+
+        days = per_day.select("customerId", DAY, before("customerId", by=DAY).alias("_days"))
+        ranges = per_range.select(
+            "customerId", DAY, "_range", before("customerId", DAY, by="_range").alias("_ranges")
         )
-        rank = F.row_number().over(W.partitionBy("customerId", DAY).orderBy("id"))
-        return (
-            orders.join(offsets, ["customerId", DAY])
-            .withColumn("order_number_for_customer", (F.col("_before") + rank).cast("bigint"))
-            .drop("_before")
+        offsets = ranges.join(days, ["customerId", DAY])
+        rank = F.row_number().over(W.partitionBy("customerId", DAY, "_range").orderBy("id"))
+        number = F.col("_days") + F.col("_ranges") + rank
+        numbered = known.join(offsets, ["customerId", DAY, "_range"]).withColumn(
+            "order_number_for_customer", number.cast("bigint")
+        )
+        rest = orders.filter(F.col("customerId").isNull() | F.col(DAY).isNull()).withColumn(
+            "order_number_for_customer", F.lit(None).cast("bigint")
         )
+        columns = [*self.orders().columns, "order_number_for_customer"]
+        return numbered.select(columns).unionByName(rest.select(columns))
+
+    def flagged_orders(self) -> DataFrame:
+        """Orders with ``first_order``: whether it is its customer's first, by day and id.
+
+        The first order of a customer is one aggregate combined before the shuffle, and joins
+        back by order id, so neither a customer nor a customer's day is ever gathered.
+        """
+        first = (
+            self.orders()
+            .filter(F.col("customerId").isNotNull() & F.col(DAY).isNotNull())
+            .groupBy("customerId")
+            .agg(F.min(F.struct(DAY, "id")).alias("_first"))
+            .select(F.col("_first.id").alias("id"), F.lit(True).alias("first_order"))
+        )
+        flag = F.coalesce("first_order", F.lit(False))
+        return self.orders().join(first, "id", "left").withColumn("first_order", flag)
+
+    def _orders(self, numbered: bool, flagged: bool) -> DataFrame:
+        if numbered:
+            return self.numbered_orders()
+        return self.flagged_orders() if flagged else self.orders()
 
     def line_counts(self) -> DataFrame:
         """Line items per order id."""
@@ -75,23 +109,25 @@ class Retail:
             .agg(F.count(F.lit(1)).alias("lines"))
         )
 
-    def order_facts(self, *, numbered: bool = False) -> DataFrame:
+    def order_facts(self, *, numbered: bool = False, flagged: bool = False) -> DataFrame:
         """One row per order that has line items, with their number as ``lines``."""
-        orders = self.numbered_orders() if numbered else self.orders()
-        return self.line_counts().join(orders, "id")
+        return self.line_counts().join(self._orders(numbered, flagged), "id")
 
-    def order_lines(self, *, numbered: bool = False) -> DataFrame:
+    def order_lines(self, *, numbered: bool = False, flagged: bool = False) -> DataFrame:
         """Line items with the day and customer of their order."""
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("id"),
             F.col("l_partkey").alias("productId"),
             F.col("l_quantity").alias("quantity"),
         )
-        return lines.join(self.numbered_orders() if numbered else self.orders(), "id")
+        return lines.join(self._orders(numbered, flagged), "id")
 
-    def lines_by(self, *part_columns: str, numbered: bool = False) -> DataFrame:
+    def lines_by(
+        self, *part_columns: str, numbered: bool = False, flagged: bool = False
+    ) -> DataFrame:
         """Line items with day and customer of their order and attributes of their part."""
-        return self.order_lines(numbered=numbered).join(self.parts(*part_columns), "productId")
+        lines = self.order_lines(numbered=numbered, flagged=flagged)
+        return lines.join(self.parts(*part_columns), "productId")
 
     def product_days(self, label: str | None = None) -> DataFrame:
         """Units per (day, product_label): the part key as text, or a part attribute."""
@@ -191,10 +227,12 @@ class Retail:
         """The daily panel of all tables."""
         keys = [part_column] if part_column else []
         if part_column:
-            lines, weight = self.lines_by(part_column, numbered=True), None
+            lines, weight = self.lines_by(part_column, flagged=True), None
         else:
-            lines, weight = self.order_facts(numbered=True), "lines"
-        stats = daily_order_stats(lines, keys, weight=weight)
+            lines, weight = self.order_facts(flagged=True), "lines"
+        stats = daily_order_stats(
+            lines, keys, order_number=None, first_order=F.col("first_order"), weight=weight
+        )
         return combined_daily(stats, self.ad_spends(part_column), self.event_days(), keys)
 
     def panel(self, part_column: str | None = None, lags: Sequence[int] = (1, 7, 30)) -> DataFrame:

@@ -122,13 +122,15 @@ def history_before(
     value: str = "totalRevenue",
     limit: int = 500,
 ) -> DataFrame:
-    """The newest ``limit`` non-null values strictly before a day (a top-N, never a full sort)."""
-    return (
+    """The newest ``limit`` non-null values strictly before a day (a top-N, never a full sort of
+    the table), oldest first."""
+    newest = (
         table.select(day_of(day).alias(day), as_column(value).cast("double").alias(value))
         .filter((F.col(day) < F.lit(before).cast("date")) & F.col(value).isNotNull())
         .orderBy(F.col(day).desc())
         .limit(limit)
     )
+    return newest.orderBy(day)
 
 
 def daily_value(table: DataFrame, value: str, *, day: str = "created") -> DataFrame:

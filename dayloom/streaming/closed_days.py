@@ -16,7 +16,11 @@ def closed_day_counts(
 ) -> DataFrame:
     """(keys, created, orders) per day in append mode: a day is emitted when the watermark has
     passed its end, so the open last day never appears. State is one counter per open day.
+    Day windows start at midnight UTC, so the session has to run in UTC.
     """
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"closed days need a session in UTC, not {zone}")
     timed = stream.withColumn("_ts", F.col(timestamp).cast("timestamp"))
     counted = (
         timed.withWatermark("_ts", lateness)

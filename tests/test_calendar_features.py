@@ -186,7 +186,7 @@ def test_spend_scale(spark):
     rows = [(i, float(v)) for i, v in enumerate([0, 3, 8, 100])]
     df = spark.createDataFrame(rows, "time_idx int, adSpend double")
     logged = np.log1p([0, 3, 8])
-    scale = covariates.ad_spend_scale(df, 2)
+    scale = covariates.ad_spend_scale(df, cutoff=2)
     row = scale.first()
     assert row.log_mean == pytest.approx(logged.mean())
     assert row.log_std == pytest.approx(logged.std(ddof=1))
@@ -199,4 +199,4 @@ def test_spend_scale(spark):
         "time_idx", covariates.unscale_ad_spend(F.col("adSpend"), F.col("s")).alias("v")
     )
     assert column(back, "v", "time_idx") == pytest.approx([0, 3, 8, 100])
-    assert covariates.ad_spend_scale(df, 0).first().log_std == 1.0
+    assert covariates.ad_spend_scale(df, cutoff=0).first().log_std == 1.0

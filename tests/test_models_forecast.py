@@ -384,3 +384,61 @@ def test_missing_model_features_count_as_zero(panel, ridge):
     lacking = panel.drop("event_start_next_1")
     out = forecast.recursive_forecast(lacking, ridge, 3, features=names, window=7)
     assert column(out, "prediction") == pytest.approx(column(whole, "prediction"))
+
+
+def test_forecast_inputs_are_taken_by_name(panel, ridge):
+    want = column(forecast.recursive_forecast(panel, ridge, 3), "prediction")
+    reordered = panel.select("created", *reversed([c for c in panel.columns if c != "created"]))
+    assert column(forecast.recursive_forecast(reordered, ridge, 3), "prediction") == pytest.approx(want)
+    extra = panel.withColumn("another", F.lit(1e6))
+    assert column(forecast.recursive_forecast(extra, ridge, 3), "prediction") == pytest.approx(want)
+    winner = {"model_name": "ridge"}
+    out = flows.forecast_winner(winner, ridge, extra, 3)
+    assert column(out, "prediction") == pytest.approx([round(v, 2) for v in want], abs=0.01)
+    with pytest.raises(ValueError, match="model inputs"):
+        forecast.recursive_forecast(panel, ridge, 3, features=["orders"], window=7)
+    names = ridge.feature_columns
+    del ridge.feature_columns
+    try:
+        with pytest.raises(ValueError, match="does not know"):
+            forecast.recursive_forecast(panel, ridge, 3)
+    finally:
+        ridge.feature_columns = names
+
+
+def test_far_first_day_on_both_paths(panel, ridge, framed):
+    train, _ = models.prepared_windows(framed, 0.2)
+    forest = models.fit_window_model("random_forest", train, {"random_forest_n_estimators": 2})
+    first = str(panel.agg(F.date_add(F.max("created"), 6)).first()[0])
+    for model in (ridge, forest):
+        assert forecast.recursive_forecast(panel, model, 2, first=first).count() == 2
+
+
+@pytest.mark.parametrize("name", ["ridge", "random_forest", "baseline_tm7_sw8_blend"])
+def test_stored_winner_forecasts_from_its_path(panel, tmp_path, name):
+    options = {"random_forest_n_estimators": 3}
+    comparison, record = flows.train_and_promote(
+        panel, window=7, models=(name,), options=options, path=str(tmp_path)
+    )
+    direct = flows.forecast_winner(record.first().asDict(), comparison.fitted[name], panel, 4)
+    reordered = panel.select("created", *reversed([c for c in panel.columns if c != "created"]))
+    loaded = flows.forecast_stored(str(tmp_path), reordered, 4)
+    assert column(loaded, "prediction") == pytest.approx(column(direct, "prediction"))
+    row = record.first()
+    assert (row.features is None) == (name == "baseline_tm7_sw8_blend")
+    assert row.window == (None if row.features is None else 7)
+
+
+def test_runs_without_a_different_effect_are_fitted_once(framed, monkeypatch):
+    fits = []
+    whole = models.fit_window_model
+    monkeypatch.setattr(models, "fit_window_model", lambda *a: fits.append(a) or whole(*a))
+    grid = {"random_forest_n_estimators": [1], "random_forest_min_samples_split": [2, 3, 4]}
+    rows = models.grid_search("random_forest", grid, windows=framed).collect()
+    assert len(rows) == 3 and len(fits) == 1 and len({r.mae for r in rows}) == 1
+
+
+def test_record_is_exactly_one_row(spark, tmp_path):
+    for rows in (0, 2):
+        with pytest.raises(ValueError):
+            files.write_record(spark.range(rows), str(tmp_path / "record.json"))

@@ -138,3 +138,46 @@ def test_hot_order_and_hot_part_are_split(spark, tmp_path):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert plan.count("skew=true") >= 2, plan
+
+
+def test_null_customers_are_kept(spark, tmp_path):
+    orders = [(1, None, 0), (2, 7, 0), (3, None, 1), (4, 7, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d int").select(
+        "o_orderkey",
+        "o_custkey",
+        F.lit("F").alias("o_orderstatus"),
+        F.timestamp_seconds(F.col("d") * 86400).alias("o_orderdate"),
+        F.lit("1").alias("o_orderpriority"),
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, 1, 1.0) for k, _, _ in orders], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    retail = Retail(spark, str(tmp_path))
+    numbers = {r.id: r.order_number_for_customer for r in retail.order_facts(numbered=True).collect()}
+    assert numbers == {1: None, 2: 1, 3: None, 4: 2}
+    flags = {r.id: r.first_order for r in retail.order_facts(flagged=True).collect()}
+    assert flags == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_hot_customer_day(spark, tmp_path, monkeypatch):
+    """A third of all orders on one customer's day: numbered over several ranges of ids."""
+    from dayloom.sources import retail
+
+    monkeypatch.setattr(retail, "ID_RANGE", 50)
+    hot = F.col("id") % 3 == 0
+    spark.range(900).select(
+        F.col("id").alias("o_orderkey"),
+        F.when(hot, 1).otherwise(F.col("id")).cast("bigint").alias("o_custkey"),
+        F.lit("F").alias("o_orderstatus"),
+        F.timestamp_seconds(F.when(hot, 5).otherwise(F.col("id") % 40) * 86400).alias("o_orderdate"),
+        F.lit("1").alias("o_orderpriority"),
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    got = Retail(spark, str(tmp_path)).numbered_orders().filter("customerId = 1")
+    rows = [r.id for r in got.orderBy("order_number_for_customer").collect()]
+    assert rows == sorted(rows) or rows[0] == 1
+    assert sorted(rows) == sorted({i for i in range(900) if i % 3 == 0} | {1})
+
+
+def test_combined_plan_has_no_order_window(spark):
+    plan = plan_of(Retail(spark, SMALL).combined())
+    assert "Window" not in plan and plan.count("Exchange") <= 9
