@@ -10,10 +10,11 @@ from dayloom.operators.daily import DAY
 from dayloom.plans import oracle as o
 from dayloom.plans.catalog import query, tidy
 from dayloom.plans.oracle import BRAND, with_
-from dayloom.sources import overrides, tables
+from dayloom.session import staged_path
+from dayloom.sources import files, overrides, tables
 from dayloom.sources.retail import Retail
 
-START = "1995-01-01"
+START = "1996-03-10"  # inside the range of all three tables
 
 
 @query(
@@ -23,7 +24,7 @@ START = "1995-01-01"
         """SELECT id, created, CAST(isodow(created) - 1 AS INT) AS created_weekday,
   CAST(month(created) AS INT) AS created_month, customerId, channel, sourceName,
   order_number_for_customer, productId, p_type AS title, CAST(quantity AS BIGINT) AS quantity
-FROM lines WHERE created >= DATE '1995-01-01'""",
+FROM lines WHERE created >= DATE '1996-03-10'""",
     ),
 )
 def order_lines_scan(spark, folder):
@@ -37,7 +38,7 @@ def order_lines_scan(spark, folder):
         o.LINES,
         """SELECT id, created, quantity,
   CASE WHEN flag = 'N' THEN CAST(productId AS VARCHAR) ELSE p_type END AS product_label
-FROM lines""",
+FROM lines WHERE created >= DATE '1996-03-10'""",
     ),
 )
 def line_items_flat(spark, folder):
@@ -51,13 +52,49 @@ _SPEND_COLUMNS = ("date", *o.MONEY, *o.UNITS)
 
 @query(
     "ad_spends_daily",
-    with_(o.spends(), f"SELECT {', '.join(_SPEND_COLUMNS)} FROM spends"),
+    with_(o.spends(), f"SELECT {', '.join(_SPEND_COLUMNS)} FROM spends WHERE date >= DATE '{START}'"),
 )
 def ad_spends_daily(spark, folder):
     return tables.scan_ad_spends(Retail(spark, folder).ad_spends(), since=START)
 
 
-@query("event_starts", with_(o.EVENTS, "SELECT startDate FROM event_days"))
+@query(
+    "ad_spends_reported",
+    with_(
+        o.spends(),
+        f"""SELECT date, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SPEND_COLUMNS[1:])}
+FROM spends WHERE date IS NOT NULL""",
+    ),
+)
+def ad_spends_reported(spark, folder):
+    return tables.profile_ad_spends(Retail(spark, folder).ad_spends())
+
+
+@query(
+    "ad_spends_round_trip",
+    with_(
+        o.spends(),
+        f"""SELECT f AS format, {", ".join(_SPEND_COLUMNS)} FROM spends, (VALUES ('parquet'), ('jsonl'), ('csv')) v(f)""",
+    ),
+)
+def ad_spends_round_trip(spark, folder):
+    """Spend written in every format and read back with its declared types."""
+    spends = Retail(spark, folder).ad_spends().select(*_SPEND_COLUMNS)
+    base = staged_path(spark, "spends")
+    paths = files.write_dataset(spends, base, "spends") | files.write_dataset(spends, base, "spends", "both")
+    read = {
+        "parquet": spark.read.parquet(paths["parquet"]),
+        "jsonl": files.read_json_lines(spark, paths["jsonl"], spends.schema),
+        "csv": spark.read.schema(spends.schema).csv(paths["csv"], header=True),
+    }
+    whole = None
+    for name, frame in read.items():
+        part = frame.select(F.lit(name).alias("format"), *_SPEND_COLUMNS)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+@query("event_starts", with_(o.EVENTS, f"SELECT startDate FROM event_days WHERE startDate >= DATE '{START}'"))
 def event_starts(spark, folder):
     return tables.scan_event_days(Retail(spark, folder).event_days(), since=START)
 
@@ -101,6 +138,33 @@ def normalize_epoch(spark, folder):
     return items.normalize_created(stamps).drop("created_dt")
 
 
+@query(
+    "normalize_epoch_seconds",
+    """SELECT id, created, CAST(isodow(created) - 1 AS INT) AS created_weekday,
+  CAST(month(created) AS INT) AS created_month
+FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) + 10000 AS created FROM orders)""",
+)
+def normalize_epoch_seconds(spark, folder):
+    orders = Retail(spark, folder).table("orders")
+    moved = F.date_add(F.to_date("o_orderdate"), 10000).cast("timestamp")
+    stamps = orders.select(F.col("o_orderkey").alias("id"), F.unix_seconds(moved).alias(DAY))
+    return items.normalize_created(stamps).drop("created_dt")
+
+
+@query(
+    "normalize_epoch_small",
+    """SELECT o_orderkey AS id, DATE '1970-01-01' AS created, CAST(3 AS INT) AS created_weekday,
+  CAST(1 AS INT) AS created_month FROM orders""",
+)
+def normalize_epoch_small(spark, folder):
+    """Numbers below 1e9 are nanoseconds: all within the first second."""
+    orders = Retail(spark, folder).table("orders")
+    number = F.pmod(F.col("o_orderkey"), F.lit(999_999_999))
+    return items.normalize_created(
+        orders.select(F.col("o_orderkey").alias("id"), number.alias(DAY))
+    ).drop("created_dt")
+
+
 @query(
     "future_overrides",
     with_(o.spends(BRAND), "SELECT p_brand, date AS created, adSpend AS value FROM spends"),

@@ -9,6 +9,8 @@ from dayloom.operators.daily import DAY
 from dayloom.plans import oracle as o
 from dayloom.plans.catalog import query, tidy
 from dayloom.plans.oracle import BRAND, r6, with_
+from dayloom.session import staged_path
+from dayloom.sources import files
 from dayloom.sources.retail import Retail
 
 RATIO = 0.2
@@ -357,9 +359,11 @@ FROM framed WHERE n_rows = 28""",
 def _window_digest(spark, folder, key=None):
     keys = [key] if key else []
     panel = Retail(spark, folder).panel(key)
-    framed = windows.sliding_windows(panel, list(o.FEATURES), keys=keys)
-    orders = o.FEATURES.index("orders")
-    spend = o.FEATURES.index("adSpend")
+    return _digest(windows.sliding_windows(panel, list(o.FEATURES), keys=keys), o.FEATURES, keys)
+
+
+def _digest(framed, names, keys):
+    orders, spend = list(names).index("orders"), list(names).index("adSpend")
     total = F.aggregate(
         F.transform("X", lambda r: r[orders]), F.lit(0.0), lambda a, v: a + v
     )
@@ -377,6 +381,15 @@ def _window_digest(spark, folder, key=None):
     )
 
 
+@query("windows_round_trip", _window_digest_sql())
+def windows_round_trip(spark, folder):
+    """Windows written with their feature order and read back."""
+    framed = windows.sliding_windows(Retail(spark, folder).panel(), list(o.FEATURES))
+    path = files.write_windows(framed, staged_path(spark, "windows"), list(o.FEATURES))
+    read, names = files.read_windows(spark, path)
+    return _digest(read, names, [])
+
+
 @query("sliding_windows", _window_digest_sql())
 def sliding_windows(spark, folder):
     return _window_digest(spark, folder)

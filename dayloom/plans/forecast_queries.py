@@ -233,6 +233,19 @@ def metrics_by_model(spark, folder):
     return tidy(evaluate.metrics_by_model(brand_errors(spark, folder)))
 
 
+@query(
+    "metrics_round_trip",
+    with_(o.errors() + ",\n" + _METRICS, f"SELECT model, {_METRIC_COLUMNS} FROM metrics"),
+)
+def metrics_round_trip(spark, folder):
+    """Metrics written as one JSON record and read back by the file's suffix."""
+    path = f"{staged_path(spark, 'metrics')}/metrics.json"
+    found = evaluate.metrics_by_model(brand_errors(spark, folder))
+    files.write_record(files.metrics_json(found).select("payload"), path)
+    payload = spark.read.json(path)
+    return tidy(files.metrics_rows(payload))
+
+
 @query(
     "metrics_by_brand",
     with_(

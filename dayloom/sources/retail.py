@@ -13,6 +13,7 @@ from dayloom.operators.daily import combined_daily, daily_counts, daily_order_st
 from dayloom.operators.features import feature_panel
 
 DAY = "created"
+ITEMS = 8  # line numbers of an order that share a fragment
 ID_RANGE = 1 << 16  # order ids ranked together within a customer's day
 
 
@@ -144,14 +145,15 @@ class Retail:
     def nested_orders(self) -> DataFrame:
         """Orders carrying an array of items; orders without items carry an empty one.
 
-        An order arrives in fragments of one item each, so no order, however large, is gathered
-        into a single array.
+        An order arrives in fragments of one flag and up to ITEMS consecutive line numbers, so no
+        order, however large, is gathered into a single array.
         """
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("id"),
             F.col("l_partkey").alias("productId"),
             F.col("l_quantity").alias("quantity"),
             F.col("l_returnflag").alias("flag"),
+            F.floor(F.col("l_linenumber") / ITEMS).alias("_part"),
         )
         item = F.struct(
             F.col("productId").cast("string").alias("productId"),
@@ -159,23 +161,25 @@ class Retail:
             F.col("quantity").cast("string").alias("quantity"),
         )
         orders = self.numbered_orders()
-        filled = lines.join(self.parts("p_type"), "productId").select(
-            "id", "flag", F.array(item).alias("line_items")
-        )
+        parted = lines.join(self.parts("p_type"), "productId").groupBy("id", "flag", "_part")
+        filled = parted.agg(F.sort_array(F.collect_list(item)).alias("line_items")).drop("_part")
         empty = orders.join(self.line_counts(), "id", "left_anti").withColumns(
             {"flag": F.lit(None).cast("string"), "line_items": F.array().cast(filled.schema["line_items"].dataType)}
         )
         return filled.join(orders, "id").unionByName(empty)
 
     def item_documents(self) -> DataFrame:
-        """The nested orders with items as JSON text: one object for flag A, else an array.
+        """The nested orders with items as JSON text: a lone item of flag A as an object, else an array.
 
         Lines flagged N have no title.
         """
         nested = self.nested_orders()
         untitled = F.transform("line_items", lambda e: e.dropFields("title"))
         text = (
-            F.when(F.col("flag") == "A", F.to_json(F.get("line_items", F.lit(0))))
+            F.when(
+                (F.col("flag") == "A") & (F.size("line_items") == 1),
+                F.to_json(F.get("line_items", F.lit(0))),
+            )
             .when(F.col("flag") == "N", F.to_json(untitled))
             .otherwise(F.to_json("line_items"))
         )
