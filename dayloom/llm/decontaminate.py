@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Every shard (about a million words of whole documents) becomes one FM-index. All test windows are
+Every shard (whole documents of about SHARD_BYTES) becomes one FM-index. All test windows are
 searched backwards at once through wavelet-matrix ranks, the occurrences are located from sampled
 suffix positions and merged into removal spans. The benchmark's vocabulary is the index alphabet:
 any run of other words is one foreign symbol, which no window holds, so it only separates.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.fm_index import FMIndex
 from dayloom.llm.rows import with_arrow_columns
+from dayloom.session import stage
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 8 << 20  # of benchmark text searched in one pass over the documents
+SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20  # of benchmark text searched in one pass over the documents
+PASSES = 4  # passes between staged results
 
 # Words: digits, lower-case letters and everything beyond ASCII; all else separates.
 _FOLD = bytes(
@@ -111,17 +114,18 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int, size: int) -> list[Windows]:
-    """The benchmark in blocks of bounded size, each searched in one pass over the documents."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int, size: int) -> Iterator[Windows]:
+    """The benchmark in blocks of bounded size, each searched in one pass over the documents.
+
+    One block at a time is on the driver.
+    """
     size_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total = benchmark.agg(F.sum(size_of)).first()[0] or 0
     blocks = total // block_bytes + 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = []
     for k in range(blocks):
         rows = benchmark.filter(F.col("text").isNotNull() & (part == k)).select("item_id", "text")
-        out.append(Windows([(r[0], r[1].encode()) for r in rows.toLocalIterator()], size))
-    return out
+        yield Windows([(r[0], r[1].encode()) for r in rows.toLocalIterator()], size)
 
 
 def decontaminate(
@@ -137,13 +141,16 @@ def decontaminate(
     """Documents (columns ``keep``, default all) with n_words, hit_words (their numbers, from 0),
     items and, if ``clean``, clean_text: the text without the spans of hit words.
 
-    A benchmark larger than ``block_bytes`` is searched block by block, one narrow pass each.
+    A benchmark larger than ``block_bytes`` is searched block by block, one narrow pass each; after
+    every PASSES of them the result is staged, so that neither plan nor driver grows with it.
     """
     result = documents
     kept = list(keep if keep is not None else documents.columns)
     kept += [c for c in ["text"] if c not in kept]
     schema = "n_words long, hit_words array<int>, items array<string>"
     for number, block in enumerate(benchmark_blocks(benchmark, block_bytes, window)):
+        if number and number % PASSES == 0:
+            result = stage(result, "searched")
 
         def search(table: pa.Table, block=block, first=number == 0):
             texts = [t.encode() if t is not None else None for t in table.column("text").to_pylist()]
