@@ -9,7 +9,17 @@ import time
 
 from pyspark.sql import functions as F
 
-from dayloom.operators import baseline, daily, features, models, windows
+from dayloom.operators import (
+    baseline,
+    calendar,
+    daily,
+    features,
+    forecast,
+    models,
+    profile,
+    smoothing,
+    windows,
+)
 from dayloom.operators.daily import DAY
 from dayloom.plans import forecast_queries, oracle
 from dayloom.plans.oracle import BRAND
@@ -33,6 +43,20 @@ def ridge(retail):
     return models.validation_errors("ridge", fitted, validation)
 
 
+def recursion(retail):
+    panel = models.stored_panel(retail.panel())
+    framed = windows.sliding_windows(panel, list(oracle.FEATURES))
+    train, _ = models.prepared_windows(framed, 0.2)
+    return forecast.recursive_forecast(panel, models.fit_window_model("ridge", train), 14)
+
+
+def forest(retail):
+    framed = windows.sliding_windows(models.stored_panel(retail.panel()), list(oracle.FEATURES))
+    train, validation = models.prepared_windows(framed, 0.2)
+    fitted = models.fit_window_model("random_forest", train, {"random_forest_n_estimators": 10})
+    return models.validation_errors("random_forest", fitted, validation)
+
+
 BENCHES = {
     "daily_orders": lambda r: daily.daily_counts(r.order_facts(), weight="lines"),
     "order_numbers": lambda r: r.order_facts(numbered=True),
@@ -57,6 +81,12 @@ BENCHES = {
     "pct_change_ma7": lambda r: features.pct_change_smoothed(r.series(BRAND), "y", [BRAND]),
     "error_metrics": lambda r: forecast_queries.metrics_by_model(r.spark, r.folder),
     "ridge_backtest": ridge,
+    "profile": lambda r: profile.profile(r.combined().drop("created")),
+    "smoothing_forecast": lambda r: smoothing.smoothing_forecast(
+        calendar.complete_calendar(r.series(BRAND), [BRAND]), 14, [BRAND]
+    ),
+    "recursive_forecast": recursion,
+    "forest_fit_10_trees": forest,
 }
 
 
