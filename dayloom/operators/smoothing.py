@@ -5,12 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dayloom.operators.baseline import check_horizon
 from dayloom.operators.calendar import interpolate_linear
@@ -21,71 +18,98 @@ SEASON = 7
 GRID = tuple(product((0.05, 0.2, 0.5), (0.01, 0.1), (0.05, 0.2)))
 
 
-def smooth(y: np.ndarray, steps: int, grid: Sequence[tuple[float, float, float]]) -> tuple:
-    """Forecast ``steps`` values with the grid point of least squared one-step error.
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
 
-    All grid points advance together as vectors. The season takes part from two full weeks on.
-    """
-    alpha, beta, gamma = np.asarray(grid, dtype=float).T
-    seasonal = len(y) >= 2 * SEASON
-    # The state before the first day: a line through the first two weeks, the first week's
-    # distance from it as the season.
-    if seasonal:
-        first, second = y[:SEASON].mean(), y[SEASON : 2 * SEASON].mean()
-        slope = (second - first) / SEASON
-        start = first - slope * (SEASON + 1) / 2
-        offsets = y[:SEASON] - (start + slope * np.arange(1, SEASON + 1))
-    else:
-        slope = y[1] - y[0] if len(y) > 1 else 0.0
-        start, offsets, gamma = y[0] - slope, np.zeros(SEASON), np.zeros_like(gamma)
-    level, trend = np.full(len(alpha), start), np.full(len(alpha), slope)
-    season = np.tile(offsets, (len(alpha), 1)).T
-    loss = np.zeros(len(alpha))
-    for t, value in enumerate(y):
-        s = season[t % SEASON]
-        expected = level + trend
-        loss += (value - expected - s) ** 2
-        raised = alpha * (value - s) + (1 - alpha) * expected
-        trend = beta * (raised - level) + (1 - beta) * trend
-        season[t % SEASON] = gamma * (value - expected) + (1 - gamma) * s
-        level = raised
-    best = int(loss.argmin())
-    ahead = np.arange(1, steps + 1)
-    pattern = season[(len(y) + ahead - 1) % SEASON, best]
-    return level[best] + ahead * trend[best] + pattern, grid[best], float(loss[best])
 
+def _fold(grid: Sequence[tuple[float, float, float]]) -> Column:
+    """The grid point of least squared one-step error: (sse, place, level, trend, season).
 
-def _run(df: DataFrame, keys: Sequence[str], horizon: str, grid) -> DataFrame:
-    """Apply :func:`smooth` to every series. A group holds at most one row per calendar day."""
-    fields = [df.schema[k] for k in keys]
-    schema = T.StructType(
-        fields
-        + [
-            T.StructField(DAY, T.DateType()),
-            T.StructField("prediction", T.DoubleType()),
-            T.StructField("alpha", T.DoubleType()),
-            T.StructField("beta", T.DoubleType()),
-            T.StructField("gamma", T.DoubleType()),
-            T.StructField("sse", T.DoubleType()),
+    Every point is folded over the days of ``_y`` with level, trend and the week's season as its
+    state. Before the first day that is a line through the first two weeks and the first week's
+    distance from it; the season takes part from two full weeks on.
+    """
+    y, seasonal = F.col("_y"), F.size("_y") >= 2 * SEASON
+    first, second = _mean(F.slice(y, 1, SEASON)), _mean(F.slice(y, SEASON + 1, SEASON))
+    head = F.get(y, F.lit(0))
+    step = F.when(F.size(y) > 1, F.get(y, F.lit(1)) - head).otherwise(F.lit(0.0))
+    slope = F.when(seasonal, (second - first) / SEASON).otherwise(step)
+    start = F.when(seasonal, first - slope * (SEASON + 1) / 2).otherwise(head - slope)
+    offsets = F.when(
+        seasonal,
+        F.transform(F.slice(y, 1, SEASON), lambda v, i: v - (start + slope * (i + 1))),
+    ).otherwise(F.array_repeat(F.lit(0.0), SEASON))
+    days = F.transform(y, lambda v, i: F.struct(v.alias("y"), (i % SEASON).alias("at")))
+    points = F.array(
+        *[
+            F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(g)).alias("g"))
+            for a, b, g in grid
         ]
     )
 
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DAY)
-        train = pdf[pdf["_train"]]
-        steps = int(pdf[horizon].iloc[0])
-        if train.empty or steps < 1:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        values, point, loss = smooth(train["y"].to_numpy(dtype=float), steps, grid)
-        start = pd.Timestamp(train[DAY].iloc[-1]) + pd.Timedelta(days=1)
-        out = pd.DataFrame({DAY: pd.date_range(start, periods=steps).date, "prediction": values})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["alpha"], out["beta"], out["gamma"] = point
-        out["sse"] = loss
-        return out[[f.name for f in schema.fields]]
-
-    return df.groupBy(*keys).applyInPandas(one_series, schema)
+    def advance(state: Column, day: Column, point: Column) -> Column:
+        gamma = F.when(seasonal, point["g"]).otherwise(F.lit(0.0))
+        expected = state["level"] + state["trend"]
+        s = F.get(state["season"], day["at"])
+        raised = point["a"] * (day["y"] - s) + (1 - point["a"]) * expected
+        error = day["y"] - expected - s
+        return F.struct(
+            raised.alias("level"),
+            (point["b"] * (raised - state["level"]) + (1 - point["b"]) * state["trend"]).alias("trend"),
+            F.transform(
+                state["season"],
+                lambda v, i: F.when(
+                    i == day["at"], gamma * (day["y"] - expected) + (1 - gamma) * s
+                ).otherwise(v),
+            ).alias("season"),
+            (state["sse"] + error * error).alias("sse"),
+        )
+
+    def run(point: Column, place: Column) -> Column:
+        zero = F.struct(
+            start.alias("level"), slope.alias("trend"), offsets.alias("season"), F.lit(0.0).alias("sse")
+        )
+        end = F.aggregate(days, zero, lambda state, day: advance(state, day, point))
+        return F.transform(
+            F.array(end),
+            lambda e: F.struct(e["sse"].alias("sse"), place.alias("place"), e["level"].alias("level"), e["trend"].alias("trend"), e["season"].alias("season")),
+        )[0]
+
+    return F.array_min(F.transform(points, run))
+
+
+def _run(df: DataFrame, keys: Sequence[str], horizon: str, grid) -> DataFrame:
+    """(keys, created, prediction, alpha, beta, gamma, sse): every series from its training days.
+
+    A series is one row holding at most one value per calendar day; all of it stays on the JVM.
+    """
+    train = F.when(F.col("_train"), F.struct(DAY, F.col("y").cast("double").alias("y")))
+    series = df.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(train)).alias("_d"), F.max(horizon).alias("_h")
+    )
+    series = series.filter((F.size("_d") > 0) & (F.col("_h") >= 1)).select(
+        *keys,
+        F.transform("_d", lambda d: d["y"]).alias("_y"),
+        F.element_at("_d", -1)[DAY].alias("_last"),
+        "_h",
+    )
+    fitted = series.withColumn("_b", _fold(grid))
+    ahead = fitted.select(
+        *keys, "_y", "_last", "_b", F.explode(F.sequence(F.lit(1), F.col("_h").cast("int"))).alias("_k")
+    )
+    names = ("alpha", "beta", "gamma")
+    chosen = [
+        F.get(F.array(*[F.lit(float(p[i])) for p in grid]), F.col("_b.place")).alias(c)
+        for i, c in enumerate(names)
+    ]
+    season = F.get(F.col("_b.season"), (F.size("_y") + F.col("_k") - 1) % SEASON)
+    return ahead.select(
+        *keys,
+        F.date_add("_last", F.col("_k")).alias(DAY),
+        (F.col("_b.level") + F.col("_k") * F.col("_b.trend") + season).alias("prediction"),
+        *chosen,
+        F.col("_b.sse").alias("sse"),
+    )
 
 
 def smoothing_forecast(

@@ -289,6 +289,51 @@ def test_smoothing_recovers_a_weekly_pattern(spark, series_of):
     assert column(short, "prediction") == pytest.approx([5, 6])
 
 
+def numpy_smoothing(y, steps, grid):
+    """Forecast ``steps`` values with the grid point of least squared one-step error.
+
+    All grid points advance together as vectors. The season takes part from two full weeks on.
+    """
+    alpha, beta, gamma = np.asarray(grid, dtype=float).T
+    seasonal = len(y) >= 2 * 7
+    # The state before the first day: a line through the first two weeks, the first week's
+    # distance from it as the season.
+    if seasonal:
+        first, second = y[:7].mean(), y[7 : 2 * 7].mean()
+        slope = (second - first) / 7
+        start = first - slope * (7 + 1) / 2
+        offsets = y[:7] - (start + slope * np.arange(1, 7 + 1))
+    else:
+        slope = y[1] - y[0] if len(y) > 1 else 0.0
+        start, offsets, gamma = y[0] - slope, np.zeros(7), np.zeros_like(gamma)
+    level, trend = np.full(len(alpha), start), np.full(len(alpha), slope)
+    season = np.tile(offsets, (len(alpha), 1)).T
+    loss = np.zeros(len(alpha))
+    for t, value in enumerate(y):
+        s = season[t % 7]
+        expected = level + trend
+        loss += (value - expected - s) ** 2
+        raised = alpha * (value - s) + (1 - alpha) * expected
+        trend = beta * (raised - level) + (1 - beta) * trend
+        season[t % 7] = gamma * (value - expected) + (1 - gamma) * s
+        level = raised
+    best = int(loss.argmin())
+    ahead = np.arange(1, steps + 1)
+    pattern = season[(len(y) + ahead - 1) % 7, best]
+    return level[best] + ahead * trend[best] + pattern, grid[best], float(loss[best])
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 14, 15, 40, 200])
+def test_smoothing_equals_numpy(series_of, n):
+    rng = np.random.default_rng(n)
+    values = 50 + 0.3 * np.arange(n) + 8 * np.sin(np.arange(n) * 2 * np.pi / 7) + rng.normal(0, 2, n)
+    want, point, loss = numpy_smoothing(values, 10, smoothing.GRID)
+    rows = smoothing.smoothing_forecast(series_of(list(values)), 10).orderBy("created").collect()
+    assert [r.prediction for r in rows] == pytest.approx(list(want))
+    assert (rows[0].alpha, rows[0].beta, rows[0].gamma) == point
+    assert rows[0].sse == pytest.approx(loss)
+
+
 def test_smoothing_backtest_covers_validation(series_of):
     values = [3.0 + i % 7 for i in range(50)]
     out = smoothing.smoothing_backtest(series_of(values), ratio=0.2)
