@@ -46,7 +46,7 @@ WIDTH = 2
 MINHASHES = 2 * SIDE * WIDTH
 MATCHES = 14
 BLOCK = 512  # members of a group compared with as many others in one task
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, MINHASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20240301).integers(0, 2**63, MINHASHES, np.uint64)

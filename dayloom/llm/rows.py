@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 OUT_ROWS = 2048
 
 
@@ -41,6 +41,8 @@ def with_arrow_columns(
             columns = [table.column(c) for c in kept]
             columns += [_array(v) for v in fn(table)]
             yield from pa.table(columns, names=names).to_batches(max_chunksize=OUT_ROWS)
+        # Workers live on: what this task no longer needs goes back before the next one runs.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 
