@@ -1,8 +1,9 @@
 """Toxicity grades from a cumulative-link (proportional odds) model over sparse text features.
 
 P(grade <= k) = sigmoid(cut_k - w.x): all thresholds share the weights w, and the expected severity is
-the sum of P(grade >= k). Features are words and word beginnings, as log(1 + count), chosen by how
-much more often they occur in toxic than in other documents.
+the sum of P(grade >= k). Features are words and word beginnings, as log(1 + count): those that
+occur in toxic documents more often than in others beyond chance (SURE standard errors), the most
+telling ones first.
 
 The labels say toxic or not. Grade 0 is not toxic; toxic documents become grade 1 or 2 by how
 much they use toxic-only features (the sum of log(1 + count)), below or from the median of the toxic
@@ -34,7 +35,9 @@ from dayloom.session import clear_staged, stage
 SAMPLE = 4000
 TOP = 512
 LEAST, LEAST_SHARE = 3, 0.005  # toxic documents of the sample that a feature must occur in
-REJECT = 0.2  # expected severity from which a document is rejected
+SURE = 5  # standard errors between a feature's shares of toxic and of other documents
+MEMO_WORDS = 1 << 17
+REJECT = 0.25  # expected severity from which a document is rejected
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6)
 
@@ -56,8 +59,8 @@ def feature_counts(text: str | None, chosen: dict[str, int] | None = None, memo:
         if found is None:
             found = features_of(word)
             if chosen is not None:
-                found = [chosen[f] for f in found if f in chosen]
-            if len(memo) > 1 << 19:
+                found = tuple(chosen[f] for f in found if f in chosen)
+            if len(memo) >= MEMO_WORDS:
                 memo.clear()
             memo[word] = found
         for f in found:
@@ -161,11 +164,12 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPL
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p1, p0 = F.col("toxic") / sizes[1], F.col("clean") / sizes[0]
     both = (F.col("toxic") + F.col("clean")) / (sizes[0] + sizes[1])
-    z = (p1 - p0) / F.sqrt(both * (1 - both) + 1e-9)
+    spread = F.sqrt(both * (1 - both) * (1 / sizes[0] + 1 / sizes[1])) + 1e-9
+    z = (p1 - p0) / spread
     best = (
         counts.filter(F.col("toxic") >= max(LEAST, LEAST_SHARE * sizes[1]))
         .withColumn("z", z)
-        .filter("z > 0")
+        .filter(F.col("z") >= SURE)
         .orderBy(F.desc("z"), "feature")
         .limit(top)
         .collect()
