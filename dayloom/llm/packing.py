@@ -22,9 +22,12 @@ needs, and each of its tokens lies in exactly one piece.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +39,26 @@ from dayloom.llm.rows import OUT_ROWS, chunks
 LENGTH = 4096
 END = 2
 SENTENCE_COST = 8
-INNER_COST = 64
-LONGEST = 256
+INNER_COST = 24
+LONGEST = 64
 HORIZON = 96  # windows solved at a time
 HELD = 16  # of them solved again with what follows
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 3 << 18
+MEMO_WORDS = 1 << 20
 _CLOSING = b".,;:!?"
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_STOP = re.compile("[^A-Za-z0-9]*[.!?][^A-Za-z0-9]*</w>", re.ASCII)
+# Byte-level vocabularies show a byte as itself where it prints, else as the next sign from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Tokens(dict):
     """Ids of words between white space as little-endian bytes, remembered for up to MEMO_WORDS.
 
     The vocabulary drops white space and never joins across it, so words can be encoded one by one.
-    It also folds case and splits letters and digits from closing marks, so a new word that differs
-    from a known one in ASCII capitals or closing marks only is put together from known ids.
+    It also folds case and splits letters from closing marks, so a new word that differs from a
+    known one in capitals or closing marks only is put together from known ids.
     """
 
     def __init__(self, path: str):
@@ -58,62 +66,66 @@ class Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        marks = [i for t, i in vocabulary.items() if _STOP.fullmatch(t)]
+        self.closing[marks] = True
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO_WORDS:
-            self.clear()
-        plain = word.lower() if word.isascii() else word
-        stem = plain.rstrip(_CLOSING)
-        if b"<" in word or not stem[-1:].isalnum():  # may hold a special token's own spelling
-            ids = self._encoded(word)
-        elif len(stem) < len(plain):
-            ids = self[stem] + self[plain[len(stem) :]]
-        elif plain != word:
-            ids = self[plain]
+            self._forget()
+        text = word.decode()
+        if _LATIN.fullmatch(text):
+            plain = text.lower().encode()
+            ids = self._letters(plain) if plain == word else self[plain]
         else:
-            ids = self._encoded(word)
+            stem = word.rstrip(_CLOSING)
+            if len(stem) < len(word) and _LATIN.fullmatch(stem.decode()):
+                ids = self[stem] + self[word[len(stem) :]]
+            else:
+                ids = self._encoded(text)
         self[word] = ids
         return ids
 
-    def _encoded(self, word: bytes) -> bytes:
-        found = self.tokenizer.encode(word.decode(), add_special_tokens=False)
-        return np.array(found.ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        """Drop the younger half: frequent words were met early."""
+        old = dict(islice(self.items(), MEMO_WORDS // 2))
+        self.clear()
+        self.update(old)
 
+    def _letters(self, word: bytes) -> bytes:
+        """Ids of lower-case Latin letters: one word to the vocabulary, so its model alone decides."""
+        found = self.model.tokenize(word.decode("latin-1").translate(_VISIBLE))
+        return array("I", [t.id for t in found]).tobytes()
 
-def sentences(data: bytes) -> list[bytes]:
-    """A text cut after closing marks before a blank, and at line ends."""
-    for mark in (b".", b"!", b"?"):
-        data = data.replace(mark + b" ", mark + b"\n")
-    return data.split(b"\n")
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def tokens_and_cuts(text: str | None, tokens: Tokens, longest: int = LONGEST):
     """A document's ids with the end token as bytes, the ends of its pieces and whether each ends a
-    sentence (the last one ends the document)."""
-    parts, ends, whole = [], [], []
-    size = 0
-    if text:
-        get = tokens.__getitem__
-        for sentence in sentences(text.encode()):
-            ids = b"".join(map(get, sentence.split()))
-            n = len(ids) // 4
-            if not n:
-                continue
-            parts.append(ids)
-            for at in range(size + longest, size + n, longest):
-                ends.append(at)
-                whole.append(False)
-            size += n
-            ends.append(size)
-            whole.append(True)
-    parts.append(np.array([END], "<u4").tobytes())
-    if ends:
-        ends.pop()
-        whole.pop()
-    for at in range((ends[-1] if ends else 0) + longest, size + 1, longest):
-        ends.append(at)
-        whole.append(False)
-    return b"".join(parts), [*ends, size + 1], [*whole, True]
+    sentence (the last one ends the document).
+
+    A sentence ends with a word whose last token is a closing mark.
+    """
+    pieces = list(map(tokens.__getitem__, text.encode().split())) if text else []
+    ids = b"".join(pieces)
+    size = len(ids) // 4
+    stops = np.zeros(0, np.int64)
+    if pieces:
+        after = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)
+        after = after[after > 0]
+        stops = after[tokens.closing[np.frombuffer(ids, "<u4")[after - 1]]]
+        stops = np.unique(stops[stops < size])
+    gaps = np.diff(stops, prepend=0, append=size)
+    ends, whole = stops.tolist(), [True] * len(stops)
+    for place in np.flatnonzero(gaps > longest)[::-1].tolist():  # sentences too long for one piece
+        start = int(stops[place - 1]) if place else 0
+        inner = list(range(start + longest, start + int(gaps[place]), longest))
+        ends[place:place] = inner
+        whole[place:place] = [False] * len(inner)
+    return ids + np.array([END], "<u4").tobytes(), [*ends, size + 1], [*whole, True]
 
 
 def best_cuts(ends: list[int], costs: list[int], length: int) -> list[int]:
