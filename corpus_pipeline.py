@@ -23,6 +23,7 @@ from dayloom.llm.toxicity import toxicity as graded
 from dayloom.session import stage
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR_PERCENT = 80  # of five-word shingles; op10 has 85 of its own
 
 
 def _stage(step: Callable[[DataFrame, SparkSession, str], DataFrame]):
@@ -55,7 +56,7 @@ def toxicity(documents: DataFrame, spark: SparkSession, folder: str) -> DataFram
 @_stage
 def near_dedup(documents: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return one_of_each(documents)
+    return one_of_each(documents, NEAR_PERCENT)
 
 
 @_stage

@@ -3,7 +3,8 @@
 Two collections of SIDE keys each are made from WIDTH minhashes per key; a table is a pair (i, j) of
 them, so SIDE^2 tables cost 2 * SIDE * WIDTH minhashes instead of 2 * SIDE^2 * WIDTH. Two documents
 meet in a table unless one whole collection disagrees: at similarity 0.85 that happens to one pair
-in 14,000, and a component is only torn if every other path between the two is lost as well.
+in 14,000 and at 0.8 to one in 1,800, and a component is only torn if every other path between the two
+is lost as well.
 
 Equal shingle sets are one class from the start, so exact copies of any number cost one row. Links
 between classes come in two passes and are always confirmed on the full sets:
@@ -16,7 +17,9 @@ between classes come in two passes and are always confirmed on the full sets:
 
 Before texts are fetched in pass 1, a pair is dropped when fewer than MATCHES of its 32 minhashes
 agree or its set sizes alone rule out the similarity; the first happens to a pair at the threshold
-with a chance of 1e-8 (binomial tail). Pass 2 is exact.
+with a chance of 1e-8 at 0.85 and 1.2e-6 at 0.8 (binomial tails). Pass 2 is exact.
+
+``percent`` is the smallest similarity of a link; SIDE, WIDTH and MATCHES are chosen for 80 and more.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own
 component; a text of fewer words than a shingle is one shingle; rows repeated whole stay repeated,
@@ -40,7 +43,7 @@ from dayloom.llm.sieve import matching, without
 from dayloom.session import clear_staged, stage
 
 SHINGLE = 5
-PERCENT = 85
+PERCENT = 85  # unless the caller says otherwise
 SIDE = 8
 WIDTH = 2
 MINHASHES = 2 * SIDE * WIDTH
@@ -151,7 +154,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     left, known = None, np.zeros(0, np.uint64)
     for batch in batches:
         found = []
@@ -159,20 +162,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = batch.column("text_a")[i].as_py()
             if text != left:
                 left, known = text, shingles(text)
-            found.append(linked(known, shingles(batch.column("text_b")[i].as_py())))
+            found.append(linked(known, shingles(batch.column("text_b")[i].as_py()), percent))
         yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirmed, "a long, b long")
+    return both.mapInArrow(lambda batches: _confirmed(batches, percent), "a long, b long")
 
 
-def _alike(n_a, signs_a, n_b, signs_b) -> np.ndarray:
-    sized = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+def _alike(n_a, signs_a, n_b, signs_b, percent: int) -> np.ndarray:
+    sized = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     return sized & ((signs_a == signs_b).sum(axis=1) >= MATCHES)
 
 
@@ -180,11 +183,11 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, MINHASHES)
 
 
-def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
         signs_a, signs_b = (_signs(batch.column(c).to_pylist()) for c in ("signs_a", "signs_b"))
-        yield batch.select(["a", "b"]).filter(pa.array(_alike(n_a, signs_a, n_b, signs_b)))
+        yield batch.select(["a", "b"]).filter(pa.array(_alike(n_a, signs_a, n_b, signs_b, percent)))
 
 
 def similar_pairs(sets: list[np.ndarray], allowed=None, percent: int = PERCENT) -> np.ndarray:
@@ -226,7 +229,7 @@ def similar_pairs(sets: list[np.ndarray], allowed=None, percent: int = PERCENT)
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
-def _links_within(table: pa.Table) -> pa.Table:
+def _links_within(table: pa.Table, percent: int) -> pa.Table:
     """Links that join different components within a group of texts: a spanning forest of them."""
     sets = [shingles(t) for t in table.column("text").to_pylist()]
     ids, parts = table.column("class").to_pylist(), table.column("part").to_numpy()
@@ -245,15 +248,15 @@ def _links_within(table: pa.Table) -> pa.Table:
         return apart & (blocks[others] != blocks[i]) if across else apart
 
     out = []
-    for i, j in similar_pairs(sets, allowed):
+    for i, j in similar_pairs(sets, allowed, percent):
         a, b = top(int(parts[i])), top(int(parts[j]))
-        if a != b and linked(sets[i], sets[j]):
+        if a != b and linked(sets[i], sets[j], percent):
             root[a] = b
             out.append((ids[i], ids[j]))
     return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links within the buckets that still hold several components.
 
     Members of a bucket share its hub, so they are gathered once by hub instead of once a bucket; a
@@ -284,11 +287,14 @@ def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
         "block",
         "text",
     )
-    return tasks.groupBy("hub", "x", "y").applyInArrow(_links_within, "a long, b long")
+    return tasks.groupBy("hub", "x", "y").applyInArrow(lambda table: _links_within(table, percent), "a long, b long")
+
 
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_shingles, component_id, kept."""
+    Documents link that share at least ``percent`` of their shingles.
+    """
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
     signed = stage(
@@ -319,7 +325,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     star = members.select(F.col("hub").alias("class_a"), F.col("class").alias("class_b")).distinct()
     star = star.filter("class_a < class_b").join(a, "class_a").join(b, "class_b")
     star = star.withColumnsRenamed({"class_a": "a", "class_b": "b"})
-    star = stage(star.mapInArrow(_alike_pairs, "a long, b long").distinct(), "star")
+    star = stage(star.mapInArrow(lambda batches: _alike_pairs(batches, percent), "a long, b long").distinct(), "star")
     # The texts of classes that share a bucket with another one are fetched once.
     met = members.select(F.col("class").alias("doc_id")).distinct()
     texts = matching(documents, met, "doc_id")
@@ -327,9 +333,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         once = texts.join(repeated, "doc_id", "left_semi").dropDuplicates()
         texts = texts.join(repeated, "doc_id", "left_anti").unionByName(once)
     texts = stage(texts, "texts")
-    links = stage(_confirm(star, texts), "links")
+    links = stage(_confirm(star, texts, percent), "links")
     parts = components(links)
-    more = stage(_rest(members, texts, parts), "links")
+    more = stage(_rest(members, texts, parts, percent), "links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     clear_staged(spark, members, star, texts, links, more)
@@ -350,12 +356,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``documents`` without near-duplicates: of each component the row of its smallest doc_id.
 
     Of rows repeated with that doc_id one stays; rows without a doc_id stay.
     """
-    found = stage(near_duplicates(documents).select("doc_id", "kept"), "kept")
+    found = stage(near_duplicates(documents, percent).select("doc_id", "kept"), "kept")
     once = without(documents, found.filter("NOT kept").select("doc_id").distinct(), "doc_id")
     many = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     many = many.select("doc_id")

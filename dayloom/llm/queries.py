@@ -65,7 +65,7 @@ def op9_url_difference_text(spark, folder):
 
 
 def op10_minhash_near_dedup(spark, folder):
-    return near_duplicates(read(spark, folder, "documents"))
+    return near_duplicates(read(spark, folder, "documents"), 85)
 
 
 QUERIES = {
