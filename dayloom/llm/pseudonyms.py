@@ -12,6 +12,10 @@ The permutation depends on the key and the kind only, so equal values stay linke
 whoever holds the key can undo it (``restore``). Spellings that differ in punctuation alone stay
 linked too, since only letters and digits enter the permutation.
 
+A card or IBAN may be followed by other digits or words; North American numbers may have spaces and a
+leading 1, which stays. Of a card in groups 4-4-4-4 before three more digits the pseudonym is permuted
+again where all 19 digits would be a card, so that it can be undone.
+
 Defined results: a null text stays null, texts without such values stay as they are, whole texts of
 any length are searched, and a value that two kinds match belongs to the first in the list above.
 """
@@ -110,13 +114,41 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1]) and bool(digits.strip("0"))
+
+
 def _card(found: re.Match, permute: Permutation) -> str | None:
-    digits = re.sub(r"\D", "", found[0])
-    if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
-        return None
-    body = characters(digits[:-1], permute, b"card")
-    fresh = iter(body + str(luhn(body)))
-    return re.sub(r"\d", lambda _: next(fresh), found[0])
+    """The card, of groups 4-4-4-4-3 the first four where the fifth makes it invalid."""
+    value, after = found[0], ""
+    digits = re.sub(r"\D", "", value)
+    if not _is_card(digits):
+        if not re.fullmatch(r"(?:\d{4} ){4}\d{3}", value) or not _is_card(digits[:16]):
+            return None
+        value, digits, after = value[:19], digits[:16], digits[16:]
+    while True:
+        body = characters(digits[:-1], permute, b"card")
+        digits = body + str(luhn(body))
+        # Permuted again where it would be read together with the digits after it.
+        if not after or not _is_card(digits + after):
+            break
+    fresh = iter(digits)
+    return re.sub(r"\d", lambda _: next(fresh), value)
+
+
+_IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        x.split(":")
+        for x in (
+            "15:NO;16:BE;18:DK,FI,FO,GL,NL,SD;19:MK,SI;20:AT,BA,EE,KZ,LT,LU,XK;21:CH,HR,LI,LV;"
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA;23:AE,GI,IL,IQ,OM,TL;24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG;"
+            "25:LY,PT,ST;26:IS,TR;27:FR,GR,IT,MC,MR,SM;28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV;29:BR,EG,PS,QA,UA;"
+            "30:JO,KW,MU;31:MT,SC;32:LC"
+        ).split(";")
+    )
+    for country in countries.split(",")
+}
 
 
 def _iban_number(text: str) -> int:
@@ -124,13 +156,22 @@ def _iban_number(text: str) -> int:
 
 
 def _iban(found: re.Match, permute: Permutation) -> str | None:
-    plain = found[0].replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_number(plain[4:] + plain[:4]) % 97 != 1:
+    """The IBAN of its country's length, else the whole match, else, of other countries, fewer groups."""
+    words = found[0].split(" ")
+    values = [" ".join(words[:n]) for n in range(len(words), 0, -1)]
+    length = _IBAN_LENGTHS.get(found[0][:2])
+    if length:
+        values = [v for v in values if len(v.replace(" ", "")) == length] + values[:1]
+    for value in values:
+        plain = value.replace(" ", "")
+        if 15 <= len(plain) <= 34 and _iban_number(plain[4:] + plain[:4]) % 97 == 1:
+            break
+    else:
         return None
     body = characters(plain[4:], permute, b"iban" + plain[:2].encode())
     check = 98 - _iban_number(f"{body}{plain[:2]}00") % 97
     fresh = iter(f"{plain[:2]}{check:02d}{body}")
-    return re.sub(r"\S", lambda _: next(fresh), found[0])
+    return re.sub(r"\S", lambda _: next(fresh), value)
 
 
 def _ipv4(found: re.Match, permute: Permutation) -> str | None:
@@ -151,7 +192,8 @@ def _phone(found: re.Match, permute: Permutation) -> str | None:
     country, rest = found[1] or "", found[2]
     if not 7 <= len(re.sub(r"\D", "", rest)) <= 14:
         return None
-    return country + characters(rest, permute, b"phone" + country.encode())
+    code = "+1" if country[:1] == "1" else country
+    return country + characters(rest, permute, b"phone" + code.encode())
 
 
 def _ssn(found: re.Match, permute: Permutation) -> str | None:
@@ -222,17 +264,18 @@ KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("ipv4", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"), _ipv4),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"), _iban),
     ("phone", re.compile(r"(?<![\w+])(\+\d{1,3})([ .\-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .\-]?\d{2,5}){1,5})(?!\d)"), _phone),
-    ("phone", re.compile(r"(?<![\w+\-.])()(\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}([-.])\d{3}\3\d{4})(?![\w\-])"), _phone),
+    ("phone", re.compile(r"(?<![\w+\-.])(1[-. ])?(\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}([-. ])\d{3}\3\d{4})(?![\w\-])"), _phone),
     ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), _ssn),
     (
         "card",
         re.compile(
-            r"(?<!\d)(?<!\d[.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)(?!-\d)"
+            r"(?<!\d)(?<!\d[.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1(?:\d{4}\1\d{3}|\d{1,7})|\d{4}([ \-])\d{6}\2\d{5})(?!\d)(?!-\d)"
         ),
         _card,
     ),
     ("date", re.compile(r"(?<![\d./\-])(?P<a>\d{1,4})(?P<mark>[-./])(?P<b>\d{1,2})(?P=mark)(?P<c>\d{1,4})(?![\d/\-]|\.\d)"), _date),
 )
+_SHORTER = ("iban", "card")  # kinds whose value may be the beginning of the match, and keeps its length
 _ANY = re.compile(r"[0-9@=:]")
 
 
@@ -243,7 +286,9 @@ def pseudonymise(text: str | None, permute: Permutation) -> tuple[str | None, di
         return text, counts
     spans: list[tuple[int, int, str]] = []  # sorted, apart from each other
     for kind, pattern, replace in KINDS:
-        for found in pattern.finditer(text):
+        at = 0
+        while found := pattern.search(text, at):
+            at = found.end()
             place = bisect(spans, (found.start(), found.end(), ""))
             if place and spans[place - 1][1] > found.start():
                 continue
@@ -251,8 +296,12 @@ def pseudonymise(text: str | None, permute: Permutation) -> tuple[str | None, di
                 continue
             fresh = replace(found, permute)
             if fresh is not None:
-                spans.insert(place, (found.start(), found.end(), fresh))
+                if kind in _SHORTER:
+                    at = found.start() + len(fresh)
+                spans.insert(place, (found.start(), at, fresh))
                 counts[kind] = counts.get(kind, 0) + 1
+            elif kind == "iban":
+                at = found.start() + 1  # another one may begin inside
     out, at = [], 0
     for start, end, fresh in spans:
         out += [text[at:start], fresh]
