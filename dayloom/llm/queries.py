@@ -13,10 +13,13 @@ from dayloom.llm.language import language_report
 from dayloom.llm.near_dedup import near_duplicates
 from dayloom.llm.oracles import ORACLES
 from dayloom.llm.packing import TOKENIZER, pack
+from dayloom.llm.periodic_runs import runs_report
 from dayloom.llm.pseudonyms import pseudonyms
 from dayloom.llm.rows import read
 from dayloom.llm.sharding import shard_report
+from dayloom.llm.spelling import spelling_variants
 from dayloom.llm.toxicity import fit_toxicity, toxicity
+from dayloom.llm.url_filter import fit_urls, judged, ruled
 
 
 def op1_ring_sharding(spark, folder):
@@ -68,6 +71,20 @@ def op10_minhash_near_dedup(spark, folder):
     return near_duplicates(read(spark, folder, "documents"), 85)
 
 
+def op11_url_filter(spark, folder):
+    """Verdicts by rule, else by a model learned from URLs that the rules decide."""
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    return judged(pages, fit_urls(ruled(pages)), keep=["page_id"])
+
+
+def op12_spelling_variants(spark, folder):
+    return spelling_variants(read(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark, folder):
+    return runs_report(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +98,9 @@ QUERIES = {
         op8_ordinal_toxicity,
         op9_url_difference_text,
         op10_minhash_near_dedup,
+        op11_url_filter,
+        op12_spelling_variants,
+        op13_periodic_runs,
     )
 }
 
