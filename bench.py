@@ -37,7 +37,7 @@ def part_series(retail):
 
 
 def ridge(retail):
-    framed = windows.sliding_windows(models.stored_panel(retail.panel()), list(oracle.FEATURES))
+    framed = windows.training_vectors(models.stored_panel(retail.panel()), list(oracle.FEATURES))
     train, validation = models.prepared_windows(framed, 0.2)
     fitted = models.fit_window_model("ridge", train)
     return models.validation_errors("ridge", fitted, validation)
@@ -45,13 +45,13 @@ def ridge(retail):
 
 def recursion(retail):
     panel = models.stored_panel(retail.panel())
-    framed = windows.sliding_windows(panel, list(oracle.FEATURES))
+    framed = windows.training_vectors(panel, list(oracle.FEATURES))
     train, _ = models.prepared_windows(framed, 0.2)
     return forecast.recursive_forecast(panel, models.fit_window_model("ridge", train), 14)
 
 
 def forest(retail):
-    framed = windows.sliding_windows(models.stored_panel(retail.panel()), list(oracle.FEATURES))
+    framed = windows.training_vectors(models.stored_panel(retail.panel()), list(oracle.FEATURES))
     train, validation = models.prepared_windows(framed, 0.2)
     fitted = models.fit_window_model("random_forest", train, {"random_forest_n_estimators": 10})
     return models.validation_errors("random_forest", fitted, validation)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from dayloom.functions import cyclical, threshold_flag, weekday_of
 from dayloom.operators.baseline import check_horizon
 from dayloom.operators.features import numeric_columns
+from dayloom.operators.models import predicted, series_label, window_inputs
+from dayloom.operators.trees import ensemble_value, is_ensemble, node_arrays
 from dayloom.session import stage
 
 DAY = "created"
@@ -258,33 +260,61 @@ def recursive_forecast(
     are 0. A model of another input length, or one that does not know its inputs while none are
     given, raises.
 
-    All series advance together. A linear model is folded over the future days inside one
-    projection. Any other fitted model transforms one row per series and day step; the steps are
-    narrow (no shuffle), and every ``steps_per_cut`` of them the finished rows are written out.
+    All series advance together. A linear model and an ensemble of trees, as node arrays, are folded
+    over the future days inside one projection. Any other fitted model transforms one row per series
+    and day step; the steps are narrow (no shuffle), and every ``steps_per_cut`` of them the finished
+    rows are written out. A pooled model with a series index gets the series of each row by its keys.
     """
     features = list(features or getattr(model, "feature_columns", None) or [])
     window = window or getattr(model, "window", None) or 28
     if not features:
         raise ValueError("the model does not know its inputs; name them in features")
-    if model.numFeatures != len(features) * window:
-        raise ValueError(f"{model.numFeatures} model inputs, but {len(features)} features x {window}")
+    if window_inputs(model) != len(features) * window:
+        raise ValueError(f"{window_inputs(model)} model inputs, but {len(features)} features x {window}")
     absent = [c for c in features if c not in panel.columns]
     panel = panel.withColumns({c: F.lit(0.0) for c in absent}) if absent else panel
     columns = numeric_columns(panel, without=keys)
     plan = Recursion(columns, features, target, window, mode)
     state = series_state(panel, plan, keys, ad_spend=ad_spend, events=events)
+    index = getattr(model, "series_index", None)
+    if index is not None and set(index.keys) - set(keys):
+        raise ValueError(f"the model tells series apart by {list(index.keys)}")
     if hasattr(model, "coefficients"):
-        weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
-        bias = float(model.intercept)
+        every = [float(w) for w in model.coefficients.toArray()]
+        size = len(features) * window
+        weights = F.array(*[F.lit(w) for w in every[:size]])
+        state = state.withColumn("_bias", F.lit(float(model.intercept)))
+        if index is not None:
+            state = state.withColumn("_bias", F.col("_bias") + _by_series(index, every[size:], 0.0))
 
         def predict(x: Column) -> Column:
             products = F.zip_with(x, weights, lambda a, b: a * b)
-            return F.aggregate(products, F.lit(bias), lambda s, v: s + v)
+            return F.aggregate(products, F.col("_bias"), lambda s, v: s + v)
+
+        return _fold(state, plan, first, days, keys, predict)
+    if is_ensemble(model):
+        trees = node_arrays(panel.sparkSession, model)
+        state = state.withColumn("_trees", trees.scalar())
+        if index is not None:
+            numbers = [float(i) for i in range(len(index.labels))]
+            state = state.withColumn("_series", _by_series(index, numbers, float(len(numbers))))
+
+        def predict(x: Column) -> Column:
+            seen = F.concat(x, F.array("_series")) if index is not None else x
+            return ensemble_value(model, F.col("_trees"), seen)
 
         return _fold(state, plan, first, days, keys, predict)
     return _stepwise(state, plan, model, first, days, keys, steps_per_cut)
 
 
+def _by_series(index, values: Sequence[float], unseen: float) -> Column:
+    """The value of a row's series; ``unseen`` for one the model does not know."""
+    labels = F.array(*[F.lit(t) for t in index.labels])
+    place = F.array_position(labels, series_label(index.keys)).cast("int")
+    found = F.get(F.array(*[F.lit(v) for v in values]), place - 1)
+    return F.coalesce(F.when(place > 0, found), F.lit(unseen))
+
+
 def _stepwise(state, plan, model, first, days, keys, steps_per_cut) -> DataFrame:
     begin, horizon = _horizon(F.col("_last"), first, days)
     out_type = "array<struct<day: date, prediction: double, row: array<double>>>"
@@ -303,7 +333,7 @@ def _stepwise(state, plan, model, first, days, keys, steps_per_cut) -> DataFrame
             model.getFeaturesCol(),
             array_to_vector(plan.model_input(F.col("_rows"), F.col("_row"))),
         )
-        scored = model.transform(ready)
+        scored = predicted(model, ready)
         asked = (F.col("_day") >= F.col("_begin")) & (F.col("_day") <= F.col("_end"))
         scored = scored.withColumn("_p", F.when(asked, F.col(model.getPredictionCol())))
         scored = scored.withColumn(

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from itertools import product
 from typing import Any
 
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from dayloom.operators.baseline import Blend, baseline_backtest, baseline_grid, grid_spec
 from dayloom.operators.calendar import target_series
 from dayloom.operators.evaluate import error_rows, metric_columns, select_best
+from dayloom.operators.least_squares import ridge_scores
 from dayloom.operators.smoothing import smoothing_backtest
 from dayloom.operators.split import check_ratio, flat_split
 from dayloom.session import stage
@@ -31,6 +35,9 @@ from dayloom.sources.files import finite_windows, write_record
 
 DAY = "created"
 FEATURES = "features"
+PARALLEL = 4  # fits running side by side; each is a chain of short jobs
+VECTOR_BYTES = 8 << 30  # training vectors up to this size are kept between passes
+MOST_SERIES = 10_000  # series that one pooled model tells apart
 
 
 def _number(options: Mapping[str, Any], key: str, default, kind):
@@ -59,6 +66,11 @@ def ridge(train: DataFrame, options: Mapping[str, Any], seed: int):
     )
 
 
+def _bins(train: DataFrame) -> int:
+    """Bins of a tree: MLlib's default, or one for every series of a pooled model."""
+    return max(32, len(train.schema[FEATURES].metadata.get("series", ())) + 1)
+
+
 def forest(train: DataFrame, options: Mapping[str, Any], seed: int):
     """Random forest over all inputs per split; an unlimited depth becomes MLlib's limit of 30."""
     depth = options.get("random_forest_max_depth", 8)
@@ -69,6 +81,7 @@ def forest(train: DataFrame, options: Mapping[str, Any], seed: int):
         maxDepth=30 if depth in (None, "") else min(int(depth), 30),
         minInstancesPerNode=_number(options, "random_forest_min_samples_leaf", 3, int),
         featureSubsetStrategy="all",
+        maxBins=_bins(train),
         seed=seed,
     )
 
@@ -87,6 +100,7 @@ def boosted(prefix: str, rounds: str, depth: str, defaults: tuple[int, int, floa
             stepSize=_number(options, f"{prefix}_learning_rate", rate, float),
             subsamplingRate=_number(options, f"{prefix}_subsample", rows, float),
             featureSubsetStrategy=str(share) if share < 1.0 else "all",
+            maxBins=_bins(train),
             seed=seed,
         )
 
@@ -100,6 +114,7 @@ WINDOW_MODELS: dict[str, Callable] = {
     "xgboost": boosted("xgboost", "n_estimators", "max_depth", (400, 4, 0.05, 0.9, 0.8)),
     "catboost": boosted("catboost", "iterations", "depth", (500, 6, 0.05, 1.0, 1.0)),
 }
+LINEAR = ("linear_regression", "ridge")
 SERIES_MODELS = ("baseline_tm7_sw8_blend", "exponential_smoothing")
 # Parameters of a configuration that have no counterpart in MLlib.
 NO_EFFECT = ("random_forest_min_samples_split",)
@@ -118,43 +133,120 @@ class Comparison:
 def prepared_windows(
     windows: DataFrame, ratio: float, keys: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, validation) vectors of the finite windows; with keys split per series, one model.
+    """(train, validation) vectors; with keys split per series, one model.
 
-    The vectors are not stored: they are ``window`` times as large as the panel. Build
-    ``windows`` on a panel whose lineage is cut (:func:`stored_panel`); a pass of an estimator
-    then shuffles the compact panel rows and slides over them, and nothing before that reruns.
+    ``windows`` are :func:`~dayloom.operators.windows.training_vectors`, which come split, or finite
+    windows of ``sliding_windows``, which are split here. Vectors are ``window`` times as large as the
+    panel: up to VECTOR_BYTES they are kept between the passes of an estimator (in memory, else on
+    disk, rebuilt where an executor is lost), beyond that each pass slides over the stored panel again.
     """
     check_ratio(ratio)
-    checked = windows.schema["X"].metadata.get("finite", False)
-    flat = flat_split(windows if checked else finite_windows(windows), ratio, keys)
+    if "split" in windows.columns:
+        flat = _kept(windows)
+    else:
+        checked = windows.schema["X"].metadata.get("finite", False)
+        flat = flat_split(windows if checked else finite_windows(windows), ratio, keys)
     return flat.filter("split = 'train'"), flat.filter("split = 'val'")
 
 
+def _kept(vectors: DataFrame) -> DataFrame:
+    if vectors.storageLevel.useMemory:
+        return vectors
+    size = vectors.count() * 8 * len(vectors.schema[FEATURES].metadata.get("feature_columns", ())) * 28
+    return vectors.persist(StorageLevel.MEMORY_AND_DISK) if size <= VECTOR_BYTES else vectors
+
+
 def stored_panel(panel: DataFrame) -> DataFrame:
     """The panel written once to the shared folder, for the repeated passes of training."""
     return stage(panel)
 
 
+@dataclass(frozen=True)
+class SeriesIndex:
+    """The series a pooled model tells apart: their keys as texts, in order; others are unseen.
+
+    Trees get the number of the series as a category, unseen ones being a category of their own.
+    Linear models get one indicator a series, all 0 for an unseen one.
+    """
+
+    keys: tuple[str, ...]
+    labels: tuple[str, ...]
+
+    @classmethod
+    def of(cls, train: DataFrame, keys: Sequence[str]) -> SeriesIndex:
+        """A model holds something for every series, so more than MOST_SERIES of them raise."""
+        found = train.select(series_label(keys).alias("s")).distinct().limit(MOST_SERIES + 1).collect()
+        if len(found) > MOST_SERIES:
+            raise ValueError(f"more than {MOST_SERIES} series in one pooled model")
+        return cls(tuple(keys), tuple(sorted(r["s"] for r in found)))
+
+    def inputs(self, as_category: bool) -> int:
+        return 1 if as_category else len(self.labels)
+
+    def attach(self, vectors: DataFrame, as_category: bool) -> DataFrame:
+        """``vectors`` with the series behind the window in the feature vector."""
+        marks = vectors.schema[FEATURES].metadata
+        labelled = vectors.withColumn("_label", series_label(self.keys))
+        indexer = StringIndexerModel.from_labels(
+            list(self.labels), inputCol="_label", outputCol="_series", handleInvalid="keep"
+        )
+        numbered, extra = indexer.transform(labelled), "_series"
+        if not as_category:
+            encoder = OneHotEncoder(inputCol="_series", outputCol="_indicators", dropLast=True)
+            numbered, extra = encoder.fit(numbered).transform(numbered), "_indicators"
+        joined = VectorAssembler(inputCols=[FEATURES, extra], outputCol="_joined").transform(numbered)
+        metadata = {**joined.schema["_joined"].metadata, **marks, "series": list(self.labels)}
+        return joined.withColumn(FEATURES, F.col("_joined").alias(FEATURES, metadata=metadata)).drop(
+            "_label", "_series", "_indicators", "_joined"
+        )
+
+
+def series_label(keys: Sequence[str]):
+    """A series' key as one text; a NULL part differs from every value."""
+    return F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+
+
 def fit_window_model(
-    name: str, train: DataFrame, options: Mapping[str, Any] | None = None, seed: int = 42
+    name: str,
+    train: DataFrame,
+    options: Mapping[str, Any] | None = None,
+    seed: int = 42,
+    series: Sequence[str] = (),
 ):
-    """A fitted model that knows its inputs: ``feature_columns`` in order, and ``window``."""
-    model = WINDOW_MODELS[name](train, options or {}, seed).fit(train)
-    return named_inputs(model, train.schema[FEATURES].metadata.get("feature_columns"))
+    """A fitted model that knows its inputs: ``feature_columns`` in order, ``window`` and, with
+    ``series`` keys, the ``series_index`` it tells pooled series apart by."""
+    marks = train.schema[FEATURES].metadata
+    index = SeriesIndex.of(train, series) if series else None
+    ready = index.attach(train, name not in LINEAR) if index else train
+    model = WINDOW_MODELS[name](ready, options or {}, seed).fit(ready)
+    return named_inputs(model, marks.get("feature_columns"), index)
 
 
-def named_inputs(model, features: Sequence[str] | None):
+def named_inputs(model, features: Sequence[str] | None, index: SeriesIndex | None = None):
     """Attach the names of the inputs to a model, and the window length that follows from them."""
+    model.series_index = index
     if features:
         model.feature_columns = list(features)
-        model.window = model.numFeatures // len(features)
+        model.window = window_inputs(model) // len(features)
     return model
 
 
+def window_inputs(model) -> int:
+    """Inputs of a model that come from the window, without those of the series."""
+    index = getattr(model, "series_index", None)
+    return model.numFeatures - (index.inputs(not hasattr(model, "coefficients")) if index else 0)
+
+
+def predicted(model, vectors: DataFrame) -> DataFrame:
+    """``vectors`` with the model's prediction, the series behind the window where it has an index."""
+    index = getattr(model, "series_index", None)
+    return model.transform(index.attach(vectors, not hasattr(model, "coefficients")) if index else vectors)
+
+
 def validation_errors(
     name: str, model, validation: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
-    scored = model.transform(validation).select(
+    scored = predicted(model, validation).select(
         *keys, DAY, F.col("y").alias("y_true"), F.col(model.getPredictionCol()).alias("y_pred")
     )
     return error_rows(scored, name, keys)
@@ -176,28 +268,34 @@ def compare_models(
     options: Mapping[str, Any] | None = None,
     seed: int = 42,
     align: bool = False,
+    pooled: bool = False,
+    parallel: int = PARALLEL,
 ) -> Comparison:
     """Fit and score every model; a model that fails becomes a row with its error text.
 
     Window models are scored on the last windows, series models on the last days of ``panel``,
-    which are a few more; ``align`` scores the series models on the windows' days only.
-    Fits are separate cluster jobs started one after the other.
+    which are a few more; ``align`` scores the series models on the windows' days only. With keys,
+    one pooled model is fitted over all series; ``pooled`` also tells it which series a window is of.
+    Fits are separate cluster jobs, ``parallel`` of them at a time.
     """
     check_ratio(ratio)
     chosen = list(models or (*WINDOW_MODELS, *SERIES_MODELS))
     spark = windows.sparkSession
     train, validation = prepared_windows(windows, ratio, keys)
-    rows, errors, fitted = [], [], {}
     series = target_series(panel, target, keys) if panel is not None else None
-    for name in chosen:
+    names = [*keys, DAY]
+
+    def run(name):
+        model = None
         try:
             if name in WINDOW_MODELS:
-                fitted[name] = fit_window_model(name, train, options, seed)
-                found = validation_errors(name, fitted[name], validation, keys)
+                more = {"series": keys} if pooled else {}
+                model = fit_window_model(name, train, options, seed, **more)
+                found = validation_errors(name, model, validation, keys)
             elif series is None:
                 raise ValueError("a series model needs the panel")
             elif name == "baseline_tm7_sw8_blend":
-                fitted[name] = Blend()
+                model = Blend()
                 found = error_rows(
                     baseline_backtest(series, keys, ratio=ratio, strict=not keys), name, keys
                 )
@@ -206,17 +304,22 @@ def compare_models(
             else:
                 raise ValueError(f"model {name!r} is not available")
             if align and name in SERIES_MODELS:
-                found = found.join(validation.select(*keys, DAY), [*keys, DAY], "left_semi")
-                found = found.select(*errors[0].columns) if errors else found
+                found = found.join(validation.select(*names), names, "left_semi")
             found = stage(found, "errors")  # scored here and written later, computed once
-            rows.append((name, *_score(found), None))
-            errors.append(found)
+            return model, found, (name, *_score(found), None)
         except Exception as problem:  # noqa: BLE001 - one failing model never ends the comparison
-            rows.append((name, None, None, None, str(problem)))
-    table = None
-    for part in errors:
-        table = part if table is None else table.unionByName(part)
-    return Comparison(spark.createDataFrame(rows, METRIC_ROW), table, fitted)
+            return None, None, (name, None, None, None, str(problem))
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(run), chosen))
+    windows.unpersist()
+    table, fitted = None, {}
+    for name, (model, found, _) in zip(chosen, done, strict=True):
+        if model is not None:
+            fitted[name] = model
+        if found is not None:
+            table = found if table is None else table.unionByName(found)
+    return Comparison(spark.createDataFrame([row for *_, row in done], METRIC_ROW), table, fitted)
 
 
 def grid_values(value: Any) -> list:
@@ -237,6 +340,21 @@ def expand_grid(grid: Mapping[str, Any] | None) -> list[dict[str, Any]]:
     return [dict(zip(grid, values)) for values in product(*axes)]
 
 
+def _alpha(entry: Mapping[str, Any]) -> float:
+    alpha = _number(entry, "ridge_alpha", 5.0, float)
+    if not 0 <= alpha < float("inf"):
+        raise ValueError("ridge_alpha must not be negative or infinite")
+    return alpha
+
+
+def _has_alpha(entry: Mapping[str, Any]) -> bool:
+    try:
+        _alpha(entry)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
 def _is_blend(entry: Mapping[str, Any]) -> bool:
     try:
         grid_spec(entry)
@@ -269,10 +387,13 @@ def grid_search(
     target: str = "orders",
     ratio: float = 0.2,
     seed: int = 42,
+    parallel: int = PARALLEL,
 ) -> DataFrame:
     """One row per combination with its metrics or error. Training data is prepared once.
 
-    All baseline candidates are scored by a single job; fitted models run one after the other.
+    All baseline candidates are scored by a single job. All ridge candidates are solved from one pass
+    over the training vectors and scored in one over the validation vectors. Other models are fitted
+    ``parallel`` at a time.
     """
     check_ratio(ratio)
     runs = expand_grid(grid)
@@ -280,7 +401,16 @@ def grid_search(
     source = windows if windows is not None else panel
     spark = source.sparkSession
     rows = []
-    if model in WINDOW_MODELS:
+    if model == "ridge":
+        train, validation = prepared_windows(windows, ratio, keys)
+        usable = [entry for entry in runs if _has_alpha(entry)]
+        scores = ridge_scores(train, validation, [_alpha(e) for e in usable]) if usable else []
+
+        def run(entry):
+            _alpha(entry)
+            return scores[usable.index(entry)]
+
+    elif model in WINDOW_MODELS:
         train, validation = prepared_windows(windows, ratio, keys)
 
         def run(entry):
@@ -306,17 +436,26 @@ def grid_search(
     else:
         raise ValueError(f"unknown model {model!r}")
     # Entries that differ in a parameter without effect only are one run.
-    done: dict[str, tuple] = {}
+    tried: dict[str, dict] = {}
+    for entry in runs:
+        effective = {k: v for k, v in entry.items() if k not in NO_EFFECT}
+        tried.setdefault(repr(sorted(effective.items())), effective)
+
+    def outcome(entry):
+        try:
+            return (*run(entry), None)
+        except Exception as problem:  # noqa: BLE001 - a failing run is a result row
+            return (None, None, None, str(problem))
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        found = pool.map(inheritable_thread_target(spark)(outcome), tried.values())
+        done = dict(zip(tried, found, strict=True))
+    if windows is not None:
+        windows.unpersist()
     for i, entry in enumerate(runs):
-        text = {k: str(v) for k, v in entry.items()}
         effective = {k: v for k, v in entry.items() if k not in NO_EFFECT}
-        key = repr(sorted(effective.items()))
-        if key not in done:
-            try:
-                done[key] = (*run(effective), None)
-            except Exception as problem:  # noqa: BLE001 - a failing run is a result row
-                done[key] = (None, None, None, str(problem))
-        rows.append((i, model, text, *done[key], now))
+        text = {k: str(v) for k, v in entry.items()}
+        rows.append((i, model, text, *done[repr(sorted(effective.items()))], now))
     return spark.createDataFrame(rows, GRID_RESULT)
 
 
@@ -345,12 +484,16 @@ def promote(
         raise ValueError(f"no model has a usable {metric}")
     model = comparison.fitted.get(row["model_name"])
     features = getattr(model, "feature_columns", None)
+    index = getattr(model, "series_index", None)
     blend = asdict(model) if isinstance(model, Blend) else None
+    texts = lambda v: F.array(*[F.lit(t) for t in v]) if v else F.lit(None).cast("array<string>")
     record = best.withColumns(
         {
             "target_col": F.lit(target),
             "predict_strategy": F.lit("winner"),
-            "features": F.array(*[F.lit(f) for f in features or []]) if features else F.lit(None).cast("array<string>"),
+            "features": texts(features),
+            "series_keys": texts(index and index.keys),
+            "series": texts(index and index.labels),
             "window": F.lit(getattr(model, "window", None)).cast("int"),
             "blend": F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in blend.items()]))
             if blend
@@ -381,7 +524,8 @@ def load_winner(spark: SparkSession, path: str) -> tuple[dict[str, Any], Any]:
     record = row.asDict()
     name = record["model_name"]
     if name in LOADERS:
-        model = named_inputs(LOADERS[name].load(f"{path}/best_model"), record["features"])
+        index = SeriesIndex(tuple(record["series_keys"]), tuple(record["series"])) if record["series"] else None
+        model = named_inputs(LOADERS[name].load(f"{path}/best_model"), record["features"], index)
     else:
         model = Blend(**json.loads(record["blend"])) if record["blend"] else None
     return record, model
@@ -389,5 +533,6 @@ def load_winner(spark: SparkSession, path: str) -> tuple[dict[str, Any], Any]:
 
 WINNER = (
     "model_name string, metric_name string, metric_value double, target_col string, "
-    "predict_strategy string, features array<string>, window int, blend string"
+    "predict_strategy string, features array<string>, series_keys array<string>, series array<string>, "
+    "window int, blend string"
 )

@@ -1,4 +1,10 @@
-"""Sliding windows of the feature panel and their standardisation."""
+"""Sliding windows of the feature panel and their standardisation.
+
+:func:`sliding_windows` slides over whole series, one task a series. :func:`training_vectors` slides
+over halo blocks: runs of consecutive rows together with the ``window`` rows before them, so that a
+single long series fills many tasks. Blocks, split and row numbers follow from counts of day ranges;
+no series is gathered, and only compact panel rows are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dayloom.functions import day_number
 from dayloom.operators.calendar import by_day
 from dayloom.operators.features import numeric_columns
 from dayloom.operators.split import cut_index
 
 DAY = "created"
+RANGE_DAYS = 512  # days numbered together
+BLOCK_ROWS = 256  # rows whose windows are built together
+TASK_ROWS = 1024  # rows of panel from which one more task builds windows
 
 
 def sliding_windows(
@@ -54,6 +64,102 @@ def sliding_windows(
     return whole.drop("_finite")
 
 
+def _joined(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key is a key of its own, as it is for windows."""
+    renamed = table.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
+    same = None
+    for i, c in enumerate(on):
+        one = F.col(c).eqNullSafe(F.col(f"_on_{i}"))
+        same = one if same is None else same & one
+    return rows.join(renamed, same).drop(*[f"_on_{i}" for i in range(len(on))])
+
+
+def numbered_rows(
+    rows: DataFrame, keys: Sequence[str] = (), day: str = DAY, *, range_days: int = RANGE_DAYS
+) -> DataFrame:
+    """Adds ``_at``: a row's number from 0 in its series by day (one row a day).
+
+    Rows are numbered inside ranges of days; the counts of the ranges, one row each, give the offsets.
+    """
+    ranged = rows.filter(F.col(day).isNotNull()).withColumn("_range", F.floor(day_number(day) / range_days))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(day)) - 1
+    joined = _joined(ranged.withColumn("_inside", inside), offsets, [*keys, "_range"])
+    return joined.withColumn("_at", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def training_vectors(
+    panel: DataFrame,
+    features: Sequence[str] | None = None,
+    *,
+    target: str = "orders",
+    window: int = 28,
+    ratio: float = 0.2,
+    keys: Sequence[str] = (),
+    day: str = DAY,
+    block_rows: int = BLOCK_ROWS,
+    tasks: int | None = None,
+) -> DataFrame:
+    """(keys, day, split, features, y): what :func:`sliding_windows` and ``flat_split`` give, built in
+    halo blocks of ``block_rows`` rows.
+
+    A row is copied into every later block whose windows reach back to it. The split needs the number
+    of whole windows before a block, so the blocks are counted before anything slides; vectors are
+    built last and never shuffled. Rows without a day take no part. ``tasks`` build them, one for TASK_ROWS rows by default. Build it
+    on a stored panel: its rows are read for the counts and for the windows.
+    """
+    if window <= 0:
+        raise ValueError("window must be positive")
+    if target not in panel.columns:
+        raise ValueError(f"no column {target!r}")
+    features = list(features or numeric_columns(panel, without=keys))
+    values = [F.col(c).cast("double") for c in features]
+    limit = F.lit(float("inf"))
+    sound = panel.dropna(subset=[*features, target]).select(
+        *keys,
+        day,
+        F.array(*values).alias("_x"),
+        F.col(target).cast("double").alias("y"),
+        (F.greatest(F.lit(0.0), *[F.abs(v) for v in values]) < limit).alias("_finite"),
+    )
+    if tasks is None:
+        most = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(1, min(most, -(-panel.count() // TASK_ROWS)))
+    own = F.floor(F.col("_at") / block_rows)
+    reach = F.sequence(own, F.floor((F.col("_at") + window) / block_rows))
+    blocks = numbered_rows(sound, keys, day).withColumns({"_own": own, "_block": F.explode(reach)})
+    inside = W.partitionBy(*keys, "_block").orderBy("_at")
+    before = inside.rowsBetween(-window, -1)
+    whole = (
+        (F.col("_own") == F.col("_block"))
+        & (F.col("_at") >= window)
+        & F.bool_and("_finite").over(before)
+        & (F.abs("y") < limit)
+    )
+    counts = blocks.withColumn("_whole", whole).groupBy(*keys, "_block").agg(F.count_if("_whole").alias("_n"))
+    series, earlier = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_block")
+    offsets = counts.select(
+        *keys,
+        "_block",
+        F.coalesce(F.sum("_n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(series).alias("_windows"),
+    )
+    number = F.col("_before") + F.count_if("_whole").over(inside) - 1
+    train = number < cut_index(F.col("_windows"), ratio)
+    placed = _joined(blocks, offsets, [*keys, "_block"]).repartition(tasks, *keys, "_block")
+    slid = placed.withColumn("_whole", whole).withColumns(
+        {
+            "split": F.when(train, F.lit("train")).otherwise(F.lit("val")),
+            "_rows": F.collect_list("_x").over(before),
+        }
+    )
+    marks = {"finite": True, "feature_columns": features}
+    vector = array_to_vector(F.flatten("_rows")).alias("features", metadata=marks)
+    return slid.filter("_whole").select(*keys, day, "split", vector, "y")
+
+
 def require_windows(windows: DataFrame) -> DataFrame:
     if windows.isEmpty():
         raise ValueError("not enough rows to build a window")

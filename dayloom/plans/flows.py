@@ -21,7 +21,7 @@ from dayloom.operators.models import (
     stored_panel,
 )
 from dayloom.operators.smoothing import smoothing_forecast
-from dayloom.operators.windows import require_windows, sliding_windows
+from dayloom.operators.windows import require_windows, training_vectors
 from dayloom.sources.files import metrics_json, write_dataset, write_datasets, write_record
 from dayloom.sources.tables import (
     HISTORY_START,
@@ -93,7 +93,9 @@ def train_and_promote(
     With ``path``, metrics, prediction errors, the winner record and its model are stored there.
     """
     panel = stored_panel(panel)
-    windows = require_windows(sliding_windows(panel, target=target, window=window, keys=keys))
+    windows = require_windows(
+        training_vectors(panel, target=target, window=window, ratio=ratio, keys=keys)
+    )
     comparison = compare_models(
         windows,
         panel,

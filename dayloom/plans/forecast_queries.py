@@ -548,7 +548,7 @@ def future_panel(spark, folder):
 
 def _global_windows(spark, folder):
     panel = models.stored_panel(Retail(spark, folder).panel())
-    return panel, windows.sliding_windows(panel, list(o.FEATURES))
+    return panel, windows.training_vectors(panel, list(o.FEATURES), ratio=RATIO)
 
 
 def _window_model_errors(spark, folder, name, options=None):
@@ -601,11 +601,11 @@ def feature_importance(spark, folder):
 
 
 def _brand_ridge(spark, folder):
-    """Panel of all brands, and one ridge model trained on the windows of all of them."""
+    """Panel of all brands, and one ridge over the windows of all of them that knows the brand."""
     panel = models.stored_panel(Retail(spark, folder).panel(BRAND))
-    framed = windows.sliding_windows(panel, list(o.FEATURES), keys=[BRAND])
+    framed = windows.training_vectors(panel, list(o.FEATURES), ratio=RATIO, keys=[BRAND])
     train, _ = models.prepared_windows(framed, RATIO, [BRAND])
-    return panel, models.fit_window_model("ridge", train)
+    return panel, models.fit_window_model("ridge", train, series=[BRAND])
 
 
 @query("recursive_forecast")
@@ -633,7 +633,7 @@ def _one_input(spark, folder, name):
     """Errors of a window model that sees yesterday's orders only."""
     panel = models.stored_panel(Retail(spark, folder).panel())
     train, validation = models.prepared_windows(
-        windows.sliding_windows(panel, ["orders"], window=1), RATIO
+        windows.training_vectors(panel, ["orders"], window=1, ratio=RATIO), RATIO
     )
     fitted = models.fit_window_model(name, train)
     found = models.validation_errors(name, fitted, validation)
@@ -707,7 +707,9 @@ def promoted_forecast(spark, folder):
     path = staged_path(spark, "winner")
     compared = models.Comparison(
         models.compare_models(
-            windows.sliding_windows(panel, ["orders"]), panel, models=("baseline_tm7_sw8_blend",)
+            windows.training_vectors(panel, ["orders"], ratio=RATIO),
+            panel,
+            models=("baseline_tm7_sw8_blend",),
         ).metrics,
         None,
         {"baseline_tm7_sw8_blend": baseline.Blend()},
