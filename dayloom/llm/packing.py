@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -193,7 +194,10 @@ class _Stream:
             self.sequence += 1
 
 
-_TOKENS: dict[str, Tokens] = {}
+@lru_cache(1)
+def _tokens(path: str) -> Tokens:
+    """One tokenizer and one memo a worker. Tasks reach it through this module, so it outlives them."""
+    return Tokens(path)
 
 
 def pack(
@@ -209,7 +213,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _TOKENS.setdefault(tokenizer_path, Tokens(tokenizer_path))
+        tokens = _tokens(tokenizer_path)
         stream = _Stream(length, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         for table in chunks(batches, "text", 4 << 20):
