@@ -6,16 +6,21 @@ highest score is the nearest vector. Pivots are chosen from a sample of at most
 (smallest hashed content); every vector is keyed by its nearest pivot and its distance from it, and the
 sorted keys are cut into blocks (annuli) of at most BLOCK vectors.
 
-A query's k-th best score within the sample bounds its radius r. By the triangle inequality only
-vectors with |d(q, p) - d(v, p)| <= r can be nearer than r; annuli beyond that are never paired with the
-query, and within a paired block only the ring of possible vectors is scored. Bounds carry a slack for
-rounding, scores are exact integers, so the result is exact. Queries meet blocks in blocks of QUERIES.
+A query's k-th best score bounds its radius r, at first the one within the sample. By the triangle
+inequality |d(q, p) - d(v, p)| <= r for whatever is nearer than r, so an annulus is as far from a query
+as its distances are from d(q, p). Annuli are visited in the order of that bound: FIRST of them, then
+SPREAD times as many in each round. After a round the radius shrinks to the k-th best score found so
+far; annuli beyond it are never visited, and a query stops when none is left inside. Within a visited
+annulus only the ring of possible vectors is scored. Bounds carry a slack for rounding, scores are
+exact integers, so the result is exact. Queries are dealt by nearest pivot and distance and meet
+blocks in blocks of QUERIES.
 
 Equal vectors are one entry with their k + 1 smallest ids: a larger id can never be among the k best of
 any query, since k others with the same score precede it.
 
 Defined results: null vectors and vectors with a null or non-finite component take no part, nor do
-null ids; a vec_id on several rows is one vector (the smallest); vectors are compared by the components
+null ids; rows with equal vec_id and vector are one, a vec_id with several vectors is a candidate and a
+query with each of them (never a candidate of its own id); vectors are compared by the components
 both have; empty vectors score 0; scores beyond a long are cut to its range; extra columns are ignored.
 """
 
@@ -37,19 +42,20 @@ SAMPLE = 2048
 PIVOTS = 32
 BLOCK = 4096
 QUERIES = 512
+FIRST = 4  # annuli that a block of queries visits in the first round
+SPREAD = 4  # how many times as many in the next one
 _EXACT = 2.0**53
 _LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, vector) of the rows that take part, one per vec_id."""
+    """(vec_id, vector) of the rows that take part; rows repeated whole are one."""
     value = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
         .select("vec_id", F.transform(value, lambda x: F.floor(x * scale).cast("long")).alias("vector"))
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("vector"))
+        .distinct()
     )
 
 
@@ -237,79 +243,126 @@ def top_k(embeddings: DataFrame, *, k: int = K, every: int = 100, scale: int = S
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(at, QUERIES)
-                queries, own = _matrix(part.column("vector"), dim), part.column("vec_id").to_numpy()
-                radius = space.radius(queries, _kth(scores(queries, sample_vectors), sample_ids, own, k))
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "queries": number,
-                            "query_ids": own.tobytes(),
-                            "query_vectors": queries.tobytes(),
-                            "radius": radius.tobytes(),
-                            "low": (space.queries(queries) - radius[:, None]).min(axis=0).tolist(),
-                            "high": (space.queries(queries) + radius[:, None]).max(axis=0).tolist(),
-                        }
-                    ],
-                    schema=_QUERIES,
-                )
+                vectors, own = _matrix(part.column("vector"), dim), part.column("vec_id").to_numpy()
+                radius = space.radius(vectors, _kth(scores(vectors, sample_vectors), sample_ids, own, k))
+                row = {"queries": number, "query_ids": own.tobytes(), "query_vectors": vectors.tobytes(), "radius": radius.tobytes()}
+                yield pa.RecordBatch.from_pylist([row | _rings(space, vectors, radius)], schema=_QUERIES)
                 number += 1
 
     wanted = rows.filter(F.col("vec_id") % every == 0)
     parts = int(wanted.count() // QUERIES + 1)
-    queries = stage(
-        wanted.repartition(parts, "vec_id").mapInArrow(
-            asked,
-            "queries long, query_ids binary, query_vectors binary, radius binary, low array<double>, high array<double>",
-        ),
-        "queries",
+    near = wanted.select("vector", F.array("vec_id").alias("ids")).mapInArrow(
+        keyed, "vector array<long>, ids array<long>, pivot int, distance double"
     )
-    rings = queries.select(
-        "queries", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "ring")
-    ).select("queries", "pivot", F.col("ring.low").alias("from"), F.col("ring.high").alias("to"))
-    directory = blocks.select("block", "pivot", "low", "high")
-    pairs = rings.join(directory, "pivot").filter("low <= to AND high >= from").select("queries", "block")
-    both = (
-        pairs.join(queries.drop("low", "high"), "queries")
-        .join(blocks.drop("low", "high"), "block")
-        .drop("queries", "block")
+    order = ["pivot", "distance", "vec_id"]
+    asking = (
+        near.select("vector", F.col("ids")[0].alias("vec_id"), "pivot", "distance")
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
     )
-
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                vectors, own = _unpack(row["vectors"], dim), np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["query_vectors"], np.int64).reshape(len(own), dim)
-                distances = np.frombuffer(row["distances"])
-                if not dim:
-                    vectors = np.zeros((len(distances), 0), np.int64)
-                radius = np.frombuffer(row["radius"])
-                at = space.queries(queries)[:, row["pivot"]]
-                first = np.searchsorted(distances, at - radius, "left")
-                last = np.searchsorted(distances, at + radius, "right")
-                live = np.flatnonzero(first < last)
-                if not len(live):
-                    continue
-                low, high = first[live].min(), last[live].max()
-                found = scores(queries[live], vectors[low:high])
-                out = []
-                for i, q in enumerate(live):
-                    ring = slice(first[q] - low, last[q] - low)
-                    ids = row["ids"][first[q] : last[q]]
-                    out += [(int(own[q]), x, s) for s, x in best_of(found[i][ring], ids, int(own[q]), k)]
-                if out:
-                    columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-    found = stage(both.mapInArrow(searched, "query_id long, vec_id long, score long"), "found")
-    clear_staged(spark, rows, classes, blocks, queries)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    queries = stage(asking.mapInArrow(asked, _QUERY_ROW), "queries")
+    directory = stage(blocks.select("block", "pivot", "low", "high"), "directory")
+    seen, best, number = None, None, FIRST
+    while True:
+        rings = queries.select("queries", F.posexplode("rings").alias("pivot", "ring"))
+        bound = F.greatest(
+            F.lit(0.0), F.col("low") - F.col("ring.until"), F.col("ring.since") - F.col("high")
+        )  # of the whole block of queries; each query has its own when the annulus is scored
+        pairs = (
+            rings.join(directory, "pivot")
+            .filter("low <= ring.to AND high >= ring.from")
+            .select("queries", "block", bound.alias("bound"))
+        )
+        if seen is not None:
+            pairs = pairs.join(seen, ["queries", "block"], "left_anti")
+        place = F.row_number().over(W.partitionBy("queries").orderBy("bound", "block"))
+        now = stage(pairs.withColumn("_place", place).filter(F.col("_place") <= number).select("queries", "block"), "pairs")
+        if now.isEmpty():
+            break
+        both = now.join(queries.drop("rings"), "queries").join(blocks.drop("low", "high"), "block").drop("block")
+        found = both.mapInArrow(lambda batches: _searched(batches, space, dim, k), _FOUND)
+        if best is not None:
+            found = found.unionByName(best)
+        ranked = W.partitionBy("queries", "slot").orderBy(F.desc("score"), "vec_id")
+        kept = found.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_rank")
+        best = stage(kept, "found")
+        seen = now if seen is None else stage(seen.unionByName(now), "seen")
+        least = best.groupBy("queries", "slot").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        known = least.filter(F.col("n") == k).groupBy("queries").agg(F.collect_list(F.struct("slot", "least")).alias("found"))
+        queries = stage(
+            queries.join(known, "queries", "left").mapInArrow(lambda batches: _shrunk(batches, space, dim), _QUERY_ROW),
+            "queries",
+        )
+        number *= SPREAD
+    if best is None:
+        return spark.createDataFrame([], empty)
+    clear_staged(spark, rows, classes, blocks, directory, queries, seen)
+    # Rows of one query_id with several vectors are one query in the result.
+    best = best.select("query_id", "vec_id", "score")
+    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        best.withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
+def _rings(space: Space, vectors: np.ndarray, radius: np.ndarray) -> dict:
+    """By pivot: distances that can hold results of a block of queries, and those of the queries themselves."""
+    away = space.queries(vectors)
+    ends = zip(
+        (away - radius[:, None]).min(axis=0).tolist(),
+        (away + radius[:, None]).max(axis=0).tolist(),
+        away.min(axis=0).tolist(),
+        away.max(axis=0).tolist(),
+        strict=True,
+    )
+    return {"rings": [{"from": a, "to": b, "since": c, "until": d} for a, b, c, d in ends]}
+
+
+def _shrunk(batches: Iterator[pa.RecordBatch], space: Space, dim: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries with the radius of their k-th best score so far."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            radius = np.frombuffer(row["radius"]).copy()
+            vectors = np.frombuffer(row["query_vectors"], np.int64).reshape(len(radius), dim)
+            found = row.pop("found") or []
+            slots = np.array([f["slot"] for f in found], np.int64)
+            least = np.array([f["least"] for f in found], np.float64)
+            radius[slots] = np.minimum(radius[slots], space.radius(vectors[slots], least))
+            row |= {"radius": radius.tobytes()} | _rings(space, vectors, radius)
+            yield pa.RecordBatch.from_pylist([row], schema=_QUERIES)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], space: Space, dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of every query among each annulus it visits, ring by ring."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            vectors, own = _unpack(row["vectors"], dim), np.frombuffer(row["query_ids"], np.int64)
+            queries = np.frombuffer(row["query_vectors"], np.int64).reshape(len(own), dim)
+            distances = np.frombuffer(row["distances"])
+            if not dim:
+                vectors = np.zeros((len(distances), 0), np.int64)
+            radius = np.frombuffer(row["radius"])
+            at = space.queries(queries)[:, row["pivot"]]
+            first = np.searchsorted(distances, at - radius, "left")
+            last = np.searchsorted(distances, at + radius, "right")
+            live = np.flatnonzero(first < last)
+            if not len(live):
+                continue
+            low, high = first[live].min(), last[live].max()
+            found = scores(queries[live], vectors[low:high])
+            out = []
+            for i, q in enumerate(live):
+                ring = slice(first[q] - low, last[q] - low)
+                ids = row["ids"][first[q] : last[q]]
+                got = best_of(found[i][ring], ids, int(own[q]), k)
+                out += [(row["queries"], int(q), int(own[q]), x, s) for s, x in got]
+            if out:
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["queries", "slot", "query_id", "vec_id", "score"])
+
+
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()),
@@ -327,7 +380,11 @@ _QUERIES = pa.schema(
         ("query_ids", pa.binary()),
         ("query_vectors", pa.binary()),
         ("radius", pa.binary()),
-        ("low", pa.list_(pa.float64())),
-        ("high", pa.list_(pa.float64())),
+        ("rings", pa.list_(pa.struct([(n, pa.float64()) for n in ("from", "to", "since", "until")]))),
     ]
 )
+_QUERY_ROW = (
+    "queries long, query_ids binary, query_vectors binary, radius binary, "
+    "rings array<struct<from:double,to:double,since:double,until:double>>"
+)
+_FOUND = "queries long, slot long, query_id long, vec_id long, score long"

@@ -341,18 +341,20 @@ def test_chat_report_equals_brute_force(spark):
 
 
 def brute_topk(rows, k=10):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        v = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-        vectors[i] = min(vectors.get(i, v), v)
-    out = []
-    for q in vectors:
+    """All pairs of distinct (id, vector) rows; several vectors of one id ask together."""
+    vectors = sorted(
+        {
+            (i, tuple(int(np.floor(float(np.float32(x)) * 1024)) for x in v))
+            for i, v in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+        }
+    )
+    found = {}
+    for q, own in vectors:
         if q % 100 == 0:
-            found = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
-    return sorted(out)
+            scored = [(-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in vectors if i != q]
+            found[q] = found.get(q, []) + scored
+    return sorted((q, n + 1, i, -s) for q, all_ in found.items() for n, (s, i) in enumerate(sorted(all_)[:k]))
 
 
 @pytest.mark.parametrize("block", [8, 4096])
@@ -365,7 +367,7 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
     rows = [(int(i), [float(x) for x in centres[i % 4] + 0.1 * rng.normal(size=6)]) for i in range(0, 2400, 12)]
     rows += [(7 + i, [0.5, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(60)]  # ties
     rows += [(5000, [0.0] * 6), (5100, None), (5200, [1.0, None, 0, 0, 0, 0]), (5300, [float("nan")] * 6), (5400, [float("inf")] + [0.0] * 5)]
-    rows += [(5500, [1e6] * 6), (5600, []), (None, [1.0] * 6), rows[0], rows[0], (24, [9.0] * 6)]
+    rows += [(5500, [1e6] * 6), (5600, []), (None, [1.0] * 6), rows[0], rows[0], (24, [9.0] * 6), (1, [0.0] * 6), (1, [5.0] * 6), (100, [-3.0] * 6), (100, [2.0] * 6)]
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
     got = sorted(tuple(r) for r in exact_topk.top_k(frame).collect())
