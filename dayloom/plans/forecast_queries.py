@@ -391,6 +391,9 @@ BASELINE_GRID = {
 }
 
 
+_ALPHAS = (0.1, 1.0, 5.0, 10.0, 100000.0)
+
+
 def _grid_sql():
     runs = [(d, w) for d in (7, 14) for w in (4, 8, 12)]
     frame = "RANGE BETWEEN INTERVAL {} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING"
@@ -668,6 +671,71 @@ def ridge_backtest_one_input(spark, folder):
     return _one_input(spark, folder, "ridge")
 
 
+def _compared_sql():
+    """Metrics of both lines through yesterday's orders and of the blend; the unknown model's error."""
+    blend = o.backtest()[len(o.series()) + 2 :]
+    lines = "\n  UNION ALL ".join(
+        f"""SELECT '{name}' AS model, y AS y_true, my + sxy / (sxx + {penalty}) * (x - mx) AS y_pred
+  FROM placed, sums WHERE i >= trunc(n * {o.TRAIN})"""
+        for name, penalty in (("linear_regression", 0), ("ridge", 5.0))
+    )
+    return with_(
+        o.panel()
+        + f""", series AS (SELECT created, orders::DOUBLE AS y FROM panel),
+{blend},
+placed AS (
+  SELECT *, row_number() {o.over(None, "created")} - 1 AS i, count(*) {o.over(None)} AS n
+  FROM (SELECT created, y, lag(y) {o.over(None, "created")} AS x FROM series) WHERE x IS NOT NULL),
+sums AS (
+  SELECT avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx
+  FROM placed WHERE i < trunc(n * {o.TRAIN})),
+tried AS ({lines}
+  UNION ALL SELECT 'baseline_tm7_sw8_blend', y_true, y_pred FROM backtest),
+errs AS (SELECT *, abs(y_true - y_pred) / greatest(abs(y_true), 1e-8) AS mape FROM tried),
+metrics AS (SELECT model, {o.METRICS} FROM errs GROUP BY model)""",
+        f"""SELECT model, {_METRIC_COLUMNS}, CAST(NULL AS VARCHAR) AS error FROM metrics
+UNION ALL SELECT 'sarima', NULL, NULL, NULL, 'model ''sarima'' is not available'""",
+    )
+
+
+@query("model_comparison_one_input", _compared_sql())
+def model_comparison_one_input(spark, folder):
+    """The comparison run on yesterday's orders alone, for models that SQL can state."""
+    panel = models.stored_panel(Retail(spark, folder).panel())
+    vectors = windows.training_vectors(panel, ["orders"], window=1, ratio=RATIO)
+    chosen = ("linear_regression", "ridge", "sarima", "baseline_tm7_sw8_blend")
+    return tidy(models.compare_models(vectors, panel, models=chosen).metrics)
+
+
+def _grid_sql():
+    alphas = ", ".join(f"({i}, {a})" for i, a in enumerate(_ALPHAS))
+    return with_(
+        o.panel()
+        + f""", placed AS (
+  SELECT *, row_number() {o.over(None, "created")} - 1 AS i, count(*) {o.over(None)} AS n
+  FROM (SELECT created, orders::DOUBLE AS y, lag(orders) {o.over(None, "created")} AS x FROM panel) WHERE x IS NOT NULL),
+sums AS (
+  SELECT avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx
+  FROM placed WHERE i < trunc(n * {o.TRAIN})),
+runs(run_id, alpha) AS (VALUES {alphas}),
+errs AS (
+  SELECT run_id, y AS y_true, my + sxy / (sxx + alpha) * (x - mx) AS y_pred FROM placed, sums, runs
+  WHERE i >= trunc(n * {o.TRAIN})),
+scored AS (SELECT *, abs(y_true - y_pred) / greatest(abs(y_true), 1e-8) AS mape FROM errs),
+metrics AS (SELECT run_id, {o.METRICS} FROM scored GROUP BY run_id)""",
+        f"SELECT CAST(run_id AS INT) AS run_id, {_METRIC_COLUMNS} FROM metrics",
+    )
+
+
+@query("ridge_grid_one_input", _grid_sql())
+def ridge_grid_one_input(spark, folder):
+    """All candidates of a ridge grid from one pass, on yesterday's orders."""
+    panel = models.stored_panel(Retail(spark, folder).panel())
+    vectors = windows.training_vectors(panel, ["orders"], window=1, ratio=RATIO)
+    found = models.grid_search("ridge", {"ridge_alpha": list(_ALPHAS)}, windows=vectors)
+    return tidy(found.select("run_id", "mae", "rmse", "mape"))
+
+
 @query(
     "ridge_optimality",
     with_(
@@ -735,6 +803,42 @@ def baseline_forecast_from(spark, folder):
     return tidy(baseline.baseline_forecast(series, HORIZON, [BRAND], first=first))
 
 
+def _smoothed_sql():
+    """Every grid point as a recursion over the days, then the forecast of the one with the least error."""
+    points = ", ".join(f"({i}, {a}, {b}, {g})" for i, (a, b, g) in enumerate(smoothing.GRID))
+    expected = "(fold.level + fold.trend)"
+    seen = "(y[fold.i + 1] - {0})"
+    s = "season[fold.i % 7 + 1]"
+    raised = f"(a * {seen.format(s)} + (1 - a) * {expected})"
+    return with_(
+        o.panel()
+        + f""", grid(place, a, b, g) AS (VALUES {points}),
+whole AS (SELECT list(orders::DOUBLE ORDER BY created) AS y, max(created) AS last FROM panel),
+weeks AS (SELECT y, last, list_avg(y[1:7]) AS one, list_avg(y[8:14]) AS two FROM whole),
+line AS (SELECT y, last, (two - one) / 7 AS slope, one - (two - one) / 7 * 4 AS start FROM weeks),
+fold AS (
+  SELECT place, a, b, g, 0 AS i, start AS level, slope AS trend,
+    list_transform(range(1, 8), lambda k: y[k] - (start + slope * k)) AS season, 0::DOUBLE AS sse FROM line, grid
+  UNION ALL
+  SELECT place, a, b, g, fold.i + 1, {raised}, b * ({raised} - fold.level) + (1 - b) * fold.trend,
+    list_transform(season, lambda v, k: CASE WHEN k = fold.i % 7 + 1
+      THEN g * {seen.format(expected)} + (1 - g) * v ELSE v END),
+    fold.sse + power(y[fold.i + 1] - {expected} - {s}, 2)
+  FROM fold, line WHERE fold.i < len(y)),
+best AS (SELECT fold.*, last FROM fold, line WHERE fold.i = len(y) ORDER BY sse, place LIMIT 1),
+ahead AS (SELECT unnest(range(1, {HORIZON} + 1)) AS k)""",
+        f"""SELECT (last + k::INT)::DATE AS created, {r6("level + k * trend + season[(i + k - 1) % 7 + 1]", "prediction")},
+  a::DOUBLE AS alpha, b::DOUBLE AS beta, g::DOUBLE AS gamma, {r6("sse")} FROM best, ahead""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("holt_winters_grid", _smoothed_sql())
+def holt_winters_grid(spark, folder):
+    """Forecast of the panel's orders by the best point of the grid, without refinement."""
+    series = Retail(spark, folder).panel().select(DAY, F.col("orders").cast("double").alias("y"))
+    return tidy(smoothing.smoothing_forecast(series, HORIZON, rounds=0))
+
+
 @query("holt_winters_forecast")
 def holt_winters_forecast(spark, folder):
     series = calendar.complete_calendar(Retail(spark, folder).series(BRAND), [BRAND])

@@ -328,12 +328,32 @@ def test_smoothing_equals_numpy(series_of, n):
     rng = np.random.default_rng(n)
     values = 50 + 0.3 * np.arange(n) + 8 * np.sin(np.arange(n) * 2 * np.pi / 7) + rng.normal(0, 2, n)
     want, point, loss = numpy_smoothing(values, 10, smoothing.GRID)
-    rows = smoothing.smoothing_forecast(series_of(list(values)), 10).orderBy("created").collect()
+    rows = smoothing.smoothing_forecast(series_of(list(values)), 10, rounds=0).orderBy("created").collect()
     assert [r.prediction for r in rows] == pytest.approx(list(want))
     assert (rows[0].alpha, rows[0].beta, rows[0].gamma) == point
     assert rows[0].sse == pytest.approx(loss)
 
 
+@pytest.mark.parametrize("n", [3, 15, 90])
+def test_refined_smoothing_reaches_a_minimum(series_of, n):
+    """Never above the grid, and as low as a much finer search around what was found."""
+    rng = np.random.default_rng(n)
+    values = 20 + 0.1 * np.arange(n) + 5 * np.sin(np.arange(n) * 2 * np.pi / 7) + rng.normal(0, 1, n).cumsum()
+    coarse = smoothing.smoothing_forecast(series_of(list(values)), 1, rounds=0).first()
+    fine = smoothing.smoothing_forecast(series_of(list(values)), 1, rounds=200, tolerance=1e-5).first()
+    assert fine.sse <= coarse.sse
+    again = smoothing.smoothing_forecast(
+        series_of(list(values)), 1, rounds=0, grid=[(fine.alpha, fine.beta, fine.gamma)]
+    ).first()
+    assert again.sse >= fine.sse * (1 - 1e-9)  # the level's shift can only lower it
+    near = [
+        (min(max(fine.alpha + i, 1e-4), 0.9999), min(max(fine.beta + j, 1e-4), 0.9999), min(max(fine.gamma + k, 1e-4), 0.9999))
+        for i in (-0.01, 0, 0.01) for j in (-0.01, 0, 0.01) for k in (-0.01, 0, 0.01)
+    ]
+    around = smoothing.smoothing_forecast(series_of(list(values)), 1, rounds=0, grid=near).first()
+    assert fine.sse <= around.sse * (1 + 1e-6)
+
+
 def test_smoothing_backtest_covers_validation(series_of):
     values = [3.0 + i % 7 for i in range(50)]
     out = smoothing.smoothing_backtest(series_of(values), ratio=0.2)
