@@ -10,9 +10,12 @@ are new in a window; repeated ones are masked, so each assistant text is a targe
 
 Tokens are counted as runs of letters and digits, and single other marks, plus OVERHEAD a turn.
 
-A conversation is handled in stretches of STRETCH turn numbers; windows start anew and history is not
-repeated where a stretch starts, so no task holds more than a stretch however long a conversation is.
-(The digest of a conversation's whole text, in ``chat_report``, does need its whole text in one row.)
+Turns are dealt in ranges of (conv_id, turn, role, text) and written once. Prefix sums are taken inside
+a range; only a conversation that goes on from an earlier range gets an offset, and there is at most one
+a range, so the offsets are few rows. Stretches of STRETCH tokens by prefix sum are handled together:
+windows start anew where a stretch starts, but the history before it comes along, so no task holds more
+than a stretch however long a conversation is and whatever its turn numbers are. (The digest of a
+conversation's whole text, in ``chat_report``, does need its whole text in one row.)
 
 Defined results: null roles and texts are empty; turns are ordered by turn (null first), then role,
 then text; repeated rows are turns of their own; conversations without a system turn repeat none;
@@ -22,12 +25,15 @@ null conv_ids are one conversation; extra columns are ignored and an empty table
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dayloom.session import stage
+
 BUDGET = 2048
 HISTORY = 256
 OVERHEAD = 4
-STRETCH = 512
+STRETCH = 1 << 17  # tokens
 ASSISTANT = "assistant"
 SYSTEM = "system"
 _TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -52,61 +58,92 @@ def marked(turn: Column) -> Column:
     )
 
 
-def chat_windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, stretch, window, n_context, formatted, loss) with loss as spans (start, length) in
-    code points of ``formatted``; the first ``n_context`` turns of a window are repeated ones."""
+def placed_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, tokens, at): every turn with the tokens of its conversation before it."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    order = ["conv_id", "turn", "role", "text", "_n"]
     turns = conversations.select(
         "conv_id",
-        F.floor(F.col("turn") / STRETCH).alias("stretch"),
-        F.struct(
-            F.col("turn").cast("long").alias("turn"),
-            role.alias("role"),
-            text.alias("text"),
-            (F.regexp_count(text, F.lit(_TOKEN)) + OVERHEAD).alias("tokens"),
-        ).alias("item"),
+        F.col("turn").cast("long").alias("turn"),
+        role.alias("role"),
+        text.alias("text"),
+        (F.regexp_count(text, F.lit(_TOKEN)) + OVERHEAD).cast("long").alias("tokens"),
+        F.monotonically_increasing_id().alias("_n"),
+    )
+    # The number of a range holds for one execution only, so ranges are written before they are used.
+    dealt = stage(turns.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "turns")
+    totals = dealt.groupBy("conv_id", "_range").agg(F.sum("tokens").alias("_sum"))
+    earlier = W.partitionBy("conv_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        totals.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"), F.sum("_sum").over(earlier).alias("_before"))
+        .filter("_before IS NOT NULL")
     )
+    inside = W.partitionBy("conv_id", "_range").orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, -1)
+    local = dealt.withColumn("_local", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of"))
+    placed = local.join(F.broadcast(offsets), same, "left")
+    return placed.select(
+        "conv_id", "turn", "role", "text", "tokens", (F.col("_local") + F.coalesce("_before", F.lit(0))).alias("at")
+    )
+
+
+def chat_windows(
+    conversations: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, stretch: int = STRETCH
+) -> DataFrame:
+    """(conv_id, stretch, window, n_context, formatted, loss) with loss as spans (start, length) in
+    code points of ``formatted``; the first ``n_context`` turns of a window are repeated ones.
+
+    ``stretch`` has to exceed ``history``."""
+    own = F.floor(F.col("at") / stretch)
+    # A turn that the history of the next stretch can reach is copied into it.
+    turns = placed_turns(conversations).select(
+        "conv_id",
+        F.explode(F.sequence(own, F.floor((F.col("at") + history) / stretch))).alias("stretch"),
+        own.alias("_own"),
+        F.struct("at", "role", "text", "tokens").alias("item"),
+    )
+    here = F.col("_own") == F.col("stretch")
     system = (
-        turns.filter(F.col("item.role") == SYSTEM)
-        .groupBy("conv_id")
+        turns.filter((F.col("item.role") == SYSTEM) & here)
+        .groupBy(F.col("conv_id").alias("_conv"))
         .agg(F.min("item").alias("system"))
-        .withColumnRenamed("conv_id", "_conv")
     )
-    lists = turns.groupBy("conv_id", "stretch").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    lists = lists.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
-    zero = F.lit(0).cast("long")
-    # upto[i] is the sum of tokens before turn i + 1, so turns a..b hold upto[b] - upto[a - 1].
-    summed = lists.withColumn(
-        "upto",
-        F.aggregate(
-            "items",
-            F.array(zero),
-            lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x["tokens"])),
-        ),
+    lists = (
+        turns.groupBy("conv_id", "stretch")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"), F.count_if(here).alias("_new"))
+        .filter("_new > 0")
+        .withColumn("_begin", F.size("items") - F.col("_new").cast("int") + 1)
     )
+    lists = lists.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+
+    def item(i: Column) -> Column:
+        return F.element_at("items", i)
 
     def tokens(first: Column, last: Column) -> Column:
-        return F.get("upto", last) - F.get("upto", first - 1)
+        return item(last)["at"] + item(last)["tokens"] - item(first)["at"]
 
     room = F.greatest(F.lit(1), budget - history - F.coalesce(F.col("system.tokens"), F.lit(0)))
+    following = F.when(
+        F.col("_begin") < F.size("items"), F.sequence(F.col("_begin") + 1, F.size("items"))
+    ).otherwise(F.array().cast("array<int>"))
     starts = F.aggregate(
-        F.sequence(F.lit(2), F.size("items") + 1),
-        F.array(F.lit(1)),
+        following,
+        F.array(F.col("_begin")),
         lambda begun, i: F.when(
-            (i <= F.size("items")) & (tokens(F.element_at(begun, -1), i) > F.col("_room")),
-            F.concat(begun, F.array(i)),
+            tokens(F.element_at(begun, -1), i) > F.col("_room"), F.concat(begun, F.array(i))
         ).otherwise(begun),
     )
-    split = summed.withColumn("_room", room).withColumn("_starts", starts)
+    split = lists.withColumn("_room", room).withColumn("_starts", starts)
     windows = split.select("*", F.posexplode("_starts").alias("window", "_first"))
     last = F.coalesce(F.get("_starts", F.col("window") + 1) - 1, F.size("items"))
+    # Every turn has OVERHEAD tokens at least, which bounds how many fit into the history.
+    back = F.greatest(F.lit(1), F.col("_first") - history // OVERHEAD)
     earlier = F.filter(
-        F.sequence(F.lit(1), F.col("_first")),
-        lambda h: F.get("upto", F.col("_first") - 1) - F.get("upto", h - 1) <= history,
+        F.sequence(back, F.col("_first")), lambda h: item(F.col("_first"))["at"] - item(h)["at"] <= history
     )
     windows = windows.withColumn("_last", last).withColumn("_from", F.element_at(earlier, 1))
     repeated = F.slice("items", F.col("_from"), F.col("_first") - F.col("_from"))
-    led = F.when(F.col("system") < F.element_at("items", F.col("_from")), F.array("system"))
+    led = F.when(F.col("system.at") < item(F.col("_from"))["at"], F.array("system"))
     windows = windows.withColumn(
         "_context", F.concat(F.coalesce(led, F.slice("items", 1, 0)), repeated)
     ).withColumn("_new", F.slice("items", F.col("_first"), F.col("_last") - F.col("_first") + 1))
