@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +14,8 @@ from dayloom.operators.daily import combined_daily, daily_counts, daily_order_st
 from dayloom.operators.features import feature_panel
 
 DAY = "created"
+# A long id as a decimal that is not negative, and the number of such ids.
+ID_LEAST, ID_SPAN = Decimal(1 << 63), Decimal(1 << 64)
 ITEMS = 8  # line numbers of an order that share a fragment
 ID_RANGE = 1 << 16  # order ids ranked together within a customer's day
 
@@ -81,19 +84,24 @@ class Retail:
         columns = [*self.orders().columns, "order_number_for_customer"]
         return numbered.select(columns).unionByName(rest.select(columns))
 
-    def flagged_orders(self) -> DataFrame:
-        """Orders with ``first_order``: whether it is its customer's first, by day and id.
+    def first_orders(self) -> DataFrame:
+        """``id`` of every customer's first order, by day and id.
 
-        The first order of a customer is one aggregate combined before the shuffle, and joins
-        back by order id, so neither a customer nor a customer's day is ever gathered.
+        Day and id are one decimal, whose minimum is a hash aggregate combined before the shuffle (that
+        of a struct would sort all orders), so neither a customer nor its day is ever gathered.
         """
+        place = F.unix_date(DAY).cast("decimal(38,0)") * ID_SPAN + F.col("id").cast("decimal(20,0)") + ID_LEAST
         first = (
             self.orders()
-            .filter(F.col("customerId").isNotNull() & F.col(DAY).isNotNull())
+            .filter(F.col("customerId").isNotNull() & F.col(DAY).isNotNull() & F.col("id").isNotNull())
             .groupBy("customerId")
-            .agg(F.min(F.struct(DAY, "id")).alias("_first"))
-            .select(F.col("_first.id").alias("id"), F.lit(True).alias("first_order"))
+            .agg(F.min(place.cast("decimal(38,0)")).alias("_first"))
         )
+        return first.select((F.pmod("_first", ID_SPAN) - ID_LEAST).cast("bigint").alias("id"))
+
+    def flagged_orders(self) -> DataFrame:
+        """Orders with ``first_order``: whether it is its customer's first, by day and id."""
+        first = self.first_orders().withColumn("first_order", F.lit(True))
         flag = F.coalesce("first_order", F.lit(False))
         return self.orders().join(first, "id", "left").withColumn("first_order", flag)
 
