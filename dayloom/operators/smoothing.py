@@ -16,9 +16,9 @@ from dayloom.operators.split import interpolate_split
 DAY = "created"
 SEASON = 7
 GRID = tuple(product((0.05, 0.2, 0.5), (0.01, 0.1), (0.05, 0.2)))
-ROUNDS = 40  # of refinement at most
+ROUNDS = 12  # of refinement at most; each costs 8 runs over the days
 STEP = 0.1  # first step of a refinement
-TOLERANCE = 0.002  # step below which a series is done
+TOLERANCE = 0.01  # step below which a series is done
 LEAST = 0.0001  # distance that parameters keep from 0 and 1
 
 
