@@ -621,6 +621,51 @@ def recursive_forecast(spark, folder):
     )
 
 
+_GAP = 3  # days after the panel's end that are carried before the first prediction
+
+
+@query(
+    "recursive_forecast_two_inputs",
+    with_(
+        o.panel()
+        + f""", placed AS (
+  SELECT *, row_number() {o.over(None, "created")} - 1 AS i, count(*) {o.over(None)} AS n
+  FROM (SELECT created, orders::DOUBLE AS y, lag(orders) {o.over(None, "created")}::DOUBLE AS p,
+    lag(adSpend) {o.over(None, "created")}::DOUBLE AS q FROM panel) WHERE p IS NOT NULL),
+sums AS (
+  SELECT avg(y) AS my, avg(p) AS mp, avg(q) AS mq, var_pop(p) AS pp, var_pop(q) AS qq, covar_pop(p, q) AS pq,
+    covar_pop(p, y) AS py, covar_pop(q, y) AS qy FROM placed WHERE i < trunc(n * {o.TRAIN})),
+line AS (
+  SELECT (py * qq - qy * pq) / (pp * qq - pq * pq) AS wp, (qy * pp - py * pq) / (pp * qq - pq * pq) AS wq, my, mp, mq FROM sums),
+last AS (SELECT created AS d, orders::DOUBLE AS y, adSpend::DOUBLE AS q FROM panel ORDER BY created DESC LIMIT 1),
+ahead AS (
+  SELECT 0 AS k, y FROM last
+  UNION ALL
+  SELECT k + 1, CASE WHEN k < {_GAP} THEN ahead.y ELSE my + wp * (ahead.y - mp) + wq * (q - mq) END
+  FROM ahead, line, (SELECT q FROM last) WHERE k < {_GAP + HORIZON})""",
+        f"""SELECT (d + k)::DATE AS created, d AS series_last_date, {r6("ahead.y", "prediction")}
+FROM ahead, last WHERE k > {_GAP}""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def recursive_forecast_two_inputs(spark, folder):
+    """A linear model of two inputs fed back day by day, after a gap of carried days."""
+    panel = models.stored_panel(Retail(spark, folder).panel())
+    vectors = windows.training_vectors(panel, ["orders", "adSpend"], window=1, ratio=RATIO)
+    fitted = models.fit_window_model("linear_regression", models.prepared_windows(vectors, RATIO)[0])
+    first = panel.agg(F.date_add(F.max(DAY), _GAP + 1).cast("string")).first()[0]
+    out = forecast.recursive_forecast(panel, fitted, HORIZON, first=first)
+    return tidy(out.select(DAY, "series_last_date", "prediction"))
+
+
+@query("forest_importance")
+def forest_importance(spark, folder):
+    """Importance of a forest of twenty trees by input name."""
+    _, framed = _global_windows(spark, folder)
+    train, _ = models.prepared_windows(framed, RATIO)
+    fitted = models.fit_window_model("random_forest", train, {"random_forest_n_estimators": 20})
+    return importance.feature_importance(spark, fitted, o.FEATURES)
+
+
 @query("forest_forecast")
 def forest_forecast(spark, folder):
     """Recursive forecast of a forest, first predicting three days after the panel's end."""

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from dayloom.operators import daily, sketches
+from dayloom.operators import daily, items, sketches
 from dayloom.operators.grids import grid_rows
+from dayloom.plans import flows
 from dayloom.plans import oracle as o
 from dayloom.plans.catalog import query
 from dayloom.plans.oracle import with_
@@ -119,3 +120,31 @@ def grid_expand(spark, folder):
         "event_type": retail.table("events").select("event_type"),
     }
     return grid_rows(axes)
+
+
+@query(
+    "datasets_round_trip",
+    with_(
+        o.LINES + ",\n" + o.spends() + ",\n" + o.EVENTS,
+        f"""SELECT 'orders' AS name, created AS day, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS amount
+FROM lines WHERE created >= DATE '{SINCE}' GROUP BY created
+UNION ALL SELECT 'ad_spends', date, 1, totalMerchSold FROM spends WHERE date >= DATE '{SINCE}'
+UNION ALL SELECT 'events', startDate, 1, 0 FROM event_days WHERE startDate >= DATE '{SINCE}'""",
+    ),
+)
+def datasets_round_trip(spark, folder):
+    """The three source tables built in one go, read back and counted by day."""
+    retail = Retail(spark, folder)
+    written = flows.build_datasets(
+        retail.nested_orders(), retail.ad_spends(), retail.event_days(), staged_path(spark, "datasets"), since=SINCE
+    )
+    read = {name: spark.read.parquet(paths["parquet"]) for name, paths in written.items()}
+    lines = items.item_numbers(read["orders"])
+    parts = [
+        lines.groupBy(F.lit("orders").alias("name"), F.col(DAY).alias("day")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("quantity").cast("bigint").alias("amount")
+        ),
+        read["ad_spends"].select(F.lit("ad_spends"), "date", F.lit(1), F.col("totalMerchSold").cast("bigint")),
+        read["events"].select(F.lit("events"), "startDate", F.lit(1), F.lit(0)),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
