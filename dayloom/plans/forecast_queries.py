@@ -716,6 +716,14 @@ def ridge_backtest_one_input(spark, folder):
     return _one_input(spark, folder, "ridge")
 
 
+# A day without orders makes a proportion of about 1e8, which has fewer decimal places in a double.
+_SCORES = f"{r6('mae')}, {r6('rmse')}, round(mape, 3) + 0.0 AS mape"
+
+
+def _scores(metrics):
+    return tidy(metrics.withColumn("mape", F.round("mape", 3)))
+
+
 def _compared_sql():
     """Metrics of both lines through yesterday's orders and of the blend; the unknown model's error."""
     blend = o.backtest()[len(o.series()) + 2 :]
@@ -738,7 +746,7 @@ tried AS ({lines}
   UNION ALL SELECT 'baseline_tm7_sw8_blend', y_true, y_pred FROM backtest),
 errs AS (SELECT *, abs(y_true - y_pred) / greatest(abs(y_true), 1e-8) AS mape FROM tried),
 metrics AS (SELECT model, {o.METRICS} FROM errs GROUP BY model)""",
-        f"""SELECT model, {_METRIC_COLUMNS}, CAST(NULL AS VARCHAR) AS error FROM metrics
+        f"""SELECT model, {_SCORES}, CAST(NULL AS VARCHAR) AS error FROM metrics
 UNION ALL SELECT 'sarima', NULL, NULL, NULL, 'model ''sarima'' is not available'""",
     )
 
@@ -749,7 +757,7 @@ def model_comparison_one_input(spark, folder):
     panel = models.stored_panel(Retail(spark, folder).panel())
     vectors = windows.training_vectors(panel, ["orders"], window=1, ratio=RATIO)
     chosen = ("linear_regression", "ridge", "sarima", "baseline_tm7_sw8_blend")
-    return tidy(models.compare_models(vectors, panel, models=chosen).metrics)
+    return _scores(models.compare_models(vectors, panel, models=chosen).metrics)
 
 
 def _grid_sql():
@@ -768,7 +776,7 @@ errs AS (
   WHERE i >= trunc(n * {o.TRAIN})),
 scored AS (SELECT *, abs(y_true - y_pred) / greatest(abs(y_true), 1e-8) AS mape FROM errs),
 metrics AS (SELECT run_id, {o.METRICS} FROM scored GROUP BY run_id)""",
-        f"SELECT CAST(run_id AS INT) AS run_id, {_METRIC_COLUMNS} FROM metrics",
+        f"SELECT CAST(run_id AS INT) AS run_id, {_SCORES} FROM metrics",
     )
 
 
@@ -778,7 +786,7 @@ def ridge_grid_one_input(spark, folder):
     panel = models.stored_panel(Retail(spark, folder).panel())
     vectors = windows.training_vectors(panel, ["orders"], window=1, ratio=RATIO)
     found = models.grid_search("ridge", {"ridge_alpha": list(_ALPHAS)}, windows=vectors)
-    return tidy(found.select("run_id", "mae", "rmse", "mape"))
+    return _scores(found.select("run_id", "mae", "rmse", "mape"))
 
 
 @query(
