@@ -2,33 +2,38 @@
 
 Pages are sorted by host and path, and each is paired with the neighbour of its host whose path shares
 the longest beginning with its own. The text lines (blocks) of the two pages are aligned by their
-longest common subsequence, and shared lines are template: they are deleted.
+longest common subsequence, and shared lines are template: they are deleted. Every page with a
+neighbour goes through this, whatever it declares. Neighbours with the same URL or the same lines are
+copies of the page, whose shared lines say nothing about a template; they are passed over.
 
 Differencing alone cannot tell a template from a copied article: near copies of an article share all
 its lines, and a menu or footer that differs between neighbours shares none (README has figures). So
-marks in the page come first: lines inside elements that the page itself declares to be navigation,
-header, footer, sidebar, advert, notice, form or comments (by tag, role, class or id) are never text,
-and lines inside a declared article are always text. Shared lines are deleted among the rest: all
-lines of pages that declare no article.
+what it leaves is checked against marks in the page: lines inside elements that the page itself
+declares to be navigation, header, footer, sidebar, advert, notice, form or comments (by tag, role,
+class or id) are never text, and lines inside a declared article are always text. Differencing decides
+all other lines. A page without a neighbour has its declared article only, or else all other lines.
 
 An article inside a template element is text where that element is a wrapper: always for <main>, which
 HTML allows inside none of them, and where only forms and elements that are never closed enclose it;
 inside a widget, modal or other layout box where the page declares no article elsewhere; inside any
 element where the page would be empty otherwise.
 
-A partition of pages is a range of the sorted URLs with one page held at a time, so a host of any size
-is spread over tasks; a page at the end of a range is paired inside its range.
+A partition of pages is a range of the sorted URLs with one page and its copies held at a time, equal
+lines once, so a host of any size is spread over tasks; a page at the end of a range is paired inside
+its range.
 
 Defined results: null html is empty, a page without text gives an empty string; pages alone in their
-host, or without a host, delete nothing by differencing; equal URLs pair with each other; broken or
-unclosed markup is read as far as it goes; extra columns are ignored.
+host but for copies, or without a host, delete nothing by differencing; broken or unclosed markup is
+read as far as it goes; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -274,36 +279,46 @@ def page_lines(text: str | None) -> list[tuple[int, str]]:
     return _decided(lines, arounds)
 
 
-def shared_lines(own: list[int], other: list[int]) -> np.ndarray:
+def shared_lines(own: list[str], other: list[str]) -> np.ndarray:
     """Which of ``own`` lie on a longest common subsequence with ``other``.
 
-    Bit-parallel: one bit a line of ``other``; a row's zero bits mark where the length grows.
+    Equal beginnings and ends always do. Between them bit-parallel: one bit a line of ``other``; a
+    row's zero bits mark where the length grows. One row in a square root of them is stored, and those
+    between are made again on the way back.
     """
     keep = np.zeros(len(own), bool)
-    places: dict[int, int] = {}
+    low, high = 0, min(len(own), len(other))
+    while low < high and own[low] == other[low]:
+        low += 1
+    high, tail = high - low, 0
+    while tail < high and own[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    keep[:low] = keep[len(own) - tail :] = True
+    own, other = own[low : len(own) - tail], other[low : len(other) - tail]
+    places: dict[str, int] = {}
     for i, line in enumerate(other):
         places[line] = places.get(line, 0) | (1 << i)
     full = (1 << len(other)) - 1
-    row, rows = full, []
-    for line in own:
-        match = places.get(line, 0)
-        both = row & match
-        row = ((row + both) | (row - both)) & full
-        rows.append(row)
+    step = math.isqrt(len(own)) + 1
+
+    def rows(row: int, lines: list[str]) -> Iterator[int]:
+        yield row
+        for line in lines:
+            both = row & places.get(line, 0)
+            row = ((row + both) | (row - both)) & full
+            yield row
+
+    stored = list(islice(rows(full, own), 0, None, step))
     column = len(other)
-    for i in range(len(own) - 1, -1, -1):
-        # Length at (i, column) is the number of zero bits below column.
-        below = (1 << column) - 1
-        here = column - (rows[i] & below).bit_count()
-        before = column - ((rows[i - 1] if i else full) & below).bit_count()
-        if here > before:
-            match = places[own[i]] & below
-            keep[i] = True
-            column = match.bit_length() - 1
-            # The last match at which the length is reached.
-            while column - ((rows[i - 1] if i else full) & ((1 << column) - 1)).bit_count() != here - 1:
-                match &= (1 << column) - 1
-                column = match.bit_length() - 1
+    for block in range(len(stored) - 1, -1, -1):
+        start = block * step
+        near = list(rows(stored[block], own[start : start + step]))
+        for i in range(len(near) - 2, -1, -1):
+            # Length at (i, column) is the number of zero bits below column.
+            below = (1 << column) - 1
+            if (near[i + 1] & below).bit_count() < (near[i] & below).bit_count():
+                keep[low + start + i] = True
+                column = (places[own[start + i]] & below).bit_length() - 1  # the last match gives all of it
     return keep
 
 
@@ -317,12 +332,13 @@ def _nearness(a: list[str], b: list[str]) -> int:
 
 
 def _difference(page: dict, mate: dict | None) -> str:
-    kept = np.array([k != TEMPLATE for k in page["kinds"]], bool)
-    if mate is not None and OTHER in page["kinds"] and ARTICLE not in page["kinds"]:
-        shared = shared_lines([hash(x) for x in page["lines"]], [hash(x) for x in mate["lines"]])
-        kept &= ~shared
-    elif ARTICLE in page["kinds"]:
-        kept &= np.array([k == ARTICLE for k in page["kinds"]], bool)
+    """The lines that differencing leaves, then checked against what the page declares."""
+    kinds = np.array(page["kinds"], int)
+    if mate is None:
+        left = np.full(len(kinds), ARTICLE not in page["kinds"])
+    else:
+        left = ~shared_lines(page["lines"], mate["lines"])
+    kept = (left & (kinds != TEMPLATE)) | (kinds == ARTICLE)
     return " ".join(x for x, k in zip(page["lines"], kept, strict=True) if k)
 
 
@@ -332,27 +348,41 @@ def _mate(page: dict, before: dict | None, after: dict | None) -> dict | None:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in the order of their URLs; each waits until the next one is known."""
-    before = page = None
-    rows: list[tuple] = []
-
-    def done(after: dict | None) -> None:
-        text = _difference(page, _mate(page, before, after))
-        rows.append((page["page_id"], page["url"], text, len(text)))
-
-    for batch in batches:
-        for after in batch.to_pylist():
-            after["path"] = after["path"].split("/")
-            if page is not None:
-                done(after)
-            before, page = page, after
-            if len(rows) >= OUT_ROWS // 8:
-                yield _texts(rows)
-                rows = []
-    if page is not None:
-        done(None)
-    if rows:
-        yield _texts(rows)
+    """Pages in the order of their URLs; each waits until the next one that is no copy is known.
+
+    A run is one page and its copies: every row has the URL or the lines of the row before it.
+    """
+    before: dict | None = None
+    run: list[dict] = []
+
+    def done(after: dict | None) -> Iterator[tuple]:
+        made = against = None
+        text = ""
+        for page in run:
+            mate = _mate(page, before, after)
+            if made is None or page["lines"] is not made["lines"] or page["kinds"] is not made["kinds"] or mate is not against:
+                made, against, text = page, mate, _difference(page, mate)
+            yield page["page_id"], page["url"], text, len(text)
+
+    def finished() -> Iterator[tuple]:
+        nonlocal before, run
+        for batch in batches:
+            for page in batch.to_pylist():
+                page["path"] = page["path"].split("/")
+                if run:
+                    last = run[-1]
+                    copied = page["lines"] == last["lines"]
+                    if copied and page["kinds"] == last["kinds"]:  # a run holds the lines of its copies once
+                        page["lines"], page["kinds"] = last["lines"], last["kinds"]
+                    if not (page["host"] and page["host"] == last["host"] and (copied or page["url"] == last["url"])):
+                        yield from done(page)
+                        before, run = last, []
+                run.append(page)
+        yield from done(None)
+
+    rows = finished()
+    while some := list(islice(rows, OUT_ROWS // 8)):
+        yield _texts(some)
 
 
 def _texts(rows: list[tuple]) -> pa.RecordBatch:
