@@ -46,20 +46,22 @@ HORIZON = 96  # windows solved at a time
 HELD = 16  # of them solved again with what follows
 TOKENIZER = "word_bpe_49k.json"
 MEMO_WORDS = 1 << 18
-_CLOSING = b".,;:!?"
+# Marks that close a word, behind a letter and before white space or the end.
+_CLOSING = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?!\S)")
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _STOP = re.compile("[^A-Za-z0-9]*[.!?][^A-Za-z0-9]*</w>", re.ASCII)
 # Byte-level vocabularies show a byte as itself where it prints, else as the next sign from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_HIDDEN = re.compile("[\x80-\xa0\xad]")  # of the bytes of Latin letters
 
 
 class Tokens(dict):
     """Ids of words between white space as little-endian bytes, remembered for up to MEMO_WORDS.
 
     The vocabulary drops white space and never joins across it, so words can be encoded one by one.
-    It also folds case and splits letters from closing marks, so a new word that differs from a
-    known one in capitals or closing marks only is put together from known ids.
+    It also folds case and splits letters from closing marks, so ``words`` does both for whole texts:
+    fewer words are to be remembered.
     """
 
     def __init__(self, path: str):
@@ -72,33 +74,50 @@ class Tokens(dict):
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         marks = [i for t, i in vocabulary.items() if _STOP.fullmatch(t)]
         self.closing[marks] = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode().lower() for t in added]
+
+    def words(self, text: str) -> list[bytes]:
+        """Words between white space, ASCII letters in lower case, marks that close a word by themselves.
+
+        Texts with a special token of the vocabulary, in any case, keep their case and marks: such
+        tokens are found in the text as it is.
+        """
+        plain = text.encode()
+        low = plain.lower()
+        if any(a in low for a in self.added):
+            return plain.split()
+        return _CLOSING.sub(rb" \g<0>", low).split()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO_WORDS:
             self._forget()
-        text = word.decode()
-        if _LATIN.fullmatch(text):
-            plain = text.lower().encode()
-            ids = self._letters(plain) if plain == word else self[plain]
+        if word.isalpha() and word.islower():
+            ids = self._letters(word.decode())
         else:
-            stem = word.rstrip(_CLOSING)
-            if len(stem) < len(word) and _LATIN.fullmatch(stem.decode()):
-                ids = self[stem] + self[word[len(stem) :]]
-            else:
-                ids = self._encoded(text)
+            ids = self._mixed(word)
         self[word] = ids
         return ids
 
+    def _mixed(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not _LATIN.fullmatch(text):
+            return self._encoded(text)
+        plain = text.lower().encode()
+        if plain != word:
+            return self[plain]
+        shown = word.decode("latin-1")
+        return self._letters(shown.translate(_VISIBLE) if _HIDDEN.search(shown) else shown)
+
     def _forget(self) -> None:
         """Drop the younger half: frequent words were met early."""
         old = dict(islice(self.items(), MEMO_WORDS // 2))
         self.clear()
         self.update(old)
 
-    def _letters(self, word: bytes) -> bytes:
+    def _letters(self, shown: str) -> bytes:
         """Ids of lower-case Latin letters: one word to the vocabulary, so its model alone decides."""
-        found = self.model.tokenize(word.decode("latin-1").translate(_VISIBLE))
-        return array("I", [t.id for t in found]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -110,16 +129,17 @@ def tokens_and_cuts(text: str | None, tokens: Tokens, longest: int = LONGEST):
 
     A sentence ends with a word whose last token is a closing mark.
     """
-    pieces = list(map(tokens.__getitem__, text.encode().split())) if text else []
+    pieces = list(map(tokens.__getitem__, tokens.words(text))) if text else []
     ids = b"".join(pieces)
     size = len(ids) // 4
-    stops = np.zeros(0, np.int64)
-    if pieces:
-        after = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)
-        after = after[after > 0]
-        stops = after[tokens.closing[np.frombuffer(ids, "<u4")[after - 1]]]
-        stops = np.unique(stops[stops < size])
-    gaps = np.diff(stops, prepend=0, append=size)
+    edges = np.zeros(2, np.int64)
+    if ids:
+        after = np.cumsum(np.fromiter(filter(None, map(len, pieces)), np.int64)) // 4
+        stops = after[:-1][tokens.closing[np.frombuffer(ids, "<u4")[after[:-1] - 1]]]
+        edges = np.zeros(len(stops) + 2, np.int64)
+        edges[1:-1] = stops
+    edges[-1] = size
+    stops, gaps = edges[1:-1], edges[1:] - edges[:-1]
     ends, whole = stops.tolist(), [True] * len(stops)
     for place in np.flatnonzero(gaps > longest)[::-1].tolist():  # sentences too long for one piece
         start = int(stops[place - 1]) if place else 0
@@ -132,20 +152,20 @@ def tokens_and_cuts(text: str | None, tokens: Tokens, longest: int = LONGEST):
 def best_cuts(ends: list[int], costs: list[int], length: int) -> list[int]:
     """Indexes into ``ends`` of the cheapest cuts; steps between ends are at most ``length``.
 
-    The last end is always a cut. ``queue`` holds places whose best + end grows from head to tail.
+    The last end is always a cut. ``value`` is best + end, and ``queue`` holds places at which it grows
+    from head to tail.
     """
-    best = [0] * (len(ends) + 1)
+    value = [0] * (len(ends) + 1)
     came = [0] * (len(ends) + 1)
     at = [0, *ends]
     queue = deque([0])
     for j in range(1, len(at)):
-        while at[j] - at[queue[0]] > length:
+        first = at[j] - length
+        while at[queue[0]] < first:
             queue.popleft()
-        i = queue[0]
-        best[j] = best[i] + length - (at[j] - at[i]) + costs[j - 1]
-        came[j] = i
-        value = best[j] + at[j]
-        while queue and best[queue[-1]] + at[queue[-1]] >= value:
+        came[j] = i = queue[0]
+        value[j] = new = value[i] + length + costs[j - 1]
+        while queue and value[queue[-1]] >= new:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(ends)
