@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from dayloom.session import stage
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 20  # of benchmark text searched in one pass over the documents
-PASSES = 4  # passes between staged results
+BLOCK_BYTES = 1 << 20  # of benchmark text in one index of windows
+PASSES = 4  # blocks searched in one pass over the documents
 
 # Words: digits, lower-case letters and everything beyond ASCII; all else separates.
 _FOLD = bytes(
@@ -115,10 +115,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int, size: int) -> Iterator[Windows]:
-    """The benchmark in blocks of bounded size, each searched in one pass over the documents.
-
-    One block at a time is on the driver.
-    """
+    """The benchmark in blocks of bounded size: one at least, and one at a time is read by the driver."""
     size_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total = benchmark.agg(F.sum(size_of)).first()[0] or 0
     blocks = total // block_bytes + 1
@@ -128,6 +125,11 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int, size: int) -> Itera
         yield Windows([(r[0], r[1].encode()) for r in rows.toLocalIterator()], size)
 
 
+def _merged(parts: tuple) -> tuple[int, np.ndarray, set[str]]:
+    """A text's number of words, hit words and items from those of several blocks."""
+    return parts[0][0], np.unique(np.concatenate([p[1] for p in parts])), set().union(*(p[2] for p in parts))
+
+
 def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -141,46 +143,44 @@ def decontaminate(
     """Documents (columns ``keep``, default all) with n_words, hit_words (their numbers, from 0),
     items and, if ``clean``, clean_text: the text without the spans of hit words.
 
-    A benchmark larger than ``block_bytes`` is searched block by block, one narrow pass each; after
-    every PASSES of them the result is staged, so that neither plan nor driver grows with it.
+    A benchmark larger than ``block_bytes`` is searched PASSES blocks a narrow pass; results are staged
+    between passes, so that neither plan nor driver grows with it. A pass is one Arrow step, cleaning
+    included: every further step in a stage would be another Python process for each running task.
     """
-    result = documents
+    result, first = documents, True
     kept = list(keep if keep is not None else documents.columns)
     kept += [c for c in ["text"] if c not in kept]
     schema = "n_words long, hit_words array<int>, items array<string>"
-    for number, block in enumerate(benchmark_blocks(benchmark, block_bytes, window)):
-        if number and number % PASSES == 0:
+    blocks = benchmark_blocks(benchmark, block_bytes, window)
+    ahead = next(blocks)
+    while ahead is not None:
+        if not first:
             result = stage(result, "searched")
+        together, ahead = [ahead, *islice(blocks, PASSES - 1)], next(blocks, None)
 
-        def search(table: pa.Table, block=block, first=number == 0):
-            texts = [t.encode() if t is not None else None for t in table.column("text").to_pylist()]
-            found = block.hits(texts)
+        def search(table: pa.Table, together=together, first=first, cleaned=clean and ahead is None):
+            texts = table.column("text").to_pylist()
+            data = [t.encode() if t is not None else None for t in texts]
+            found = [block.hits(data) for block in together]
             if not first:
-                found = [
-                    (n, np.union1d(hit, np.array(old, np.int64)), items | set(was))
-                    for (n, hit, items), old, was in zip(
-                        found, table.column("hit_words").to_pylist(), table.column("items").to_pylist(), strict=True
-                    )
-                ]
-            return [
-                pa.array([f[0] for f in found], pa.int64()),
-                pa.array([f[1] for f in found], pa.list_(pa.int32())),
-                pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
+                was = zip(*(table.column(c).to_pylist() for c in ("n_words", "hit_words", "items")), strict=True)
+                found.append([(n, np.array(hit, np.int64), set(items)) for n, hit, items in was])
+            merged = found[0] if len(found) == 1 else [_merged(parts) for parts in zip(*found, strict=True)]
+            columns = [
+                pa.array([f[0] for f in merged], pa.int64()),
+                pa.array([f[1] for f in merged], pa.list_(pa.int32())),
+                pa.array([sorted(f[2]) for f in merged], pa.list_(pa.string())),
             ]
-
-        result = with_arrow_columns(result, search, schema, size_of="text", keep=kept, chunk_bytes=shard_bytes)
-    if clean:
-
-        def cut(table: pa.Table):
-            out = []
-            for text, hit in zip(table.column("text").to_pylist(), table.column("hit_words").to_pylist(), strict=True):
-                if hit:
-                    data = text.encode()
-                    text = without(data, removal_spans(data, np.array(hit))).decode()
-                out.append(text)
-            return [pa.array(out, pa.string())]
-
-        result = with_arrow_columns(result, cut, "clean_text string", size_of="text")
+            if cleaned:
+                for i, (_, hit, _) in enumerate(merged):
+                    if len(hit):
+                        texts[i] = without(data[i], removal_spans(data[i], hit)).decode()
+                columns.append(pa.array(texts, pa.string()))
+            return columns
+
+        added = f"{schema}, clean_text string" if clean and ahead is None else schema
+        result = with_arrow_columns(result, search, added, size_of="text", keep=kept, chunk_bytes=shard_bytes)
+        first = False
     return result if keep is None or "text" in keep else result.drop("text")
 
 

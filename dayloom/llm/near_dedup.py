@@ -48,27 +48,14 @@ SIDE = 8
 WIDTH = 2
 MINHASHES = 2 * SIDE * WIDTH
 MATCHES = 14
-BLOCK = 512  # members of a group compared with as many others in one task
-MEMO_WORDS = 1 << 18
+BLOCK = 512  # members of a group compared with as many others in one task, or fewer:
+BLOCK_BYTES = 4 << 20  # of their texts on average
 
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, MINHASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20240301).integers(0, 2**63, MINHASHES, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered for up to MEMO_WORDS of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -84,8 +71,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    get = _HASHES.__getitem__
-    hashes = np.fromiter(map(get, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(size, len(words))
     total = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
@@ -199,24 +185,35 @@ def similar_pairs(sets: list[np.ndarray], allowed=None, percent: int = PERCENT)
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     none = np.zeros((0, 2), np.int64)
-    if len(sets) < 2:
+    if len(sets) < 2 or not sizes.any():
         return none
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.empty(len(counts), np.int64)
-    order[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.lexsort((order[inverse], owner))
-    token, shared = order[inverse][by], counts[inverse][by] > 1
+    tokens = np.concatenate(sets)
+    by = np.argsort(tokens, kind="stable")
+    tokens = tokens[by]
+    number = np.zeros(len(tokens), np.int32)
+    np.cumsum(tokens[1:] != tokens[:-1], out=number[1:])
+    del tokens
+    counts = np.bincount(number)
+    order = np.empty(len(counts), np.int32)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    # Set and token in one number: sorted in place, without indexes beside it.
+    both = np.repeat(np.arange(len(sets)), sizes)[by] << 32
+    del by
+    both |= order[number]
+    del number
+    both.sort()
+    owner, token = (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)
+    del both
     starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(by)) - starts[owner]
-    prefix = sizes + (-percent * sizes) // 100 + 1
-    kept = np.flatnonzero(shared & (place < prefix[owner]))
+    end = starts + sizes + (-percent * sizes) // 100 + 1  # of the prefixes
+    kept = np.flatnonzero((token >= (counts == 1).sum()) & (np.arange(len(owner)) < end[owner]))
     kept = kept[np.argsort(token[kept], kind="stable")]
     found = [none]
     for group in np.split(kept, np.flatnonzero(np.diff(token[kept])) + 1):
         if len(group) < 2:
             continue
-        who, rest = owner[group], sizes[owner[group]] - place[group]
+        who = owner[group]
+        rest = sizes[who] - (group - starts[who])
         for k in range(len(group) - 1):
             other = who[k + 1 :]
             # |a & b| >= percent / (100 + percent) * (|a| + |b|) is the similarity in terms of sizes.
@@ -231,7 +228,7 @@ def similar_pairs(sets: list[np.ndarray], allowed=None, percent: int = PERCENT)
 
 def _links_within(table: pa.Table, percent: int) -> pa.Table:
     """Links that join different components within a group of texts: a spanning forest of them."""
-    sets = [shingles(t) for t in table.column("text").to_pylist()]
+    sets = [shingles(t.as_py()) for t in table.column("text")]
     ids, parts = table.column("class").to_pylist(), table.column("part").to_numpy()
     blocks = table.column("block").to_numpy()
     across = len(set(blocks.tolist())) > 1
@@ -256,11 +253,18 @@ def _links_within(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def _blocks(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, blocks): into how many blocks a group is dealt, by its members and the bytes of their texts."""
+    sized = groups.join(texts.select("doc_id", "size"), groups["class"] == texts["doc_id"])
+    needed = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)
+    return sized.groupBy("hub").agg(F.ceil(needed).alias("blocks"))
+
+
 def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links within the buckets that still hold several components.
 
     Members of a bucket share its hub, so they are gathered once by hub instead of once a bucket; a
-    large group is dealt out in pairs of blocks.
+    large group is dealt out in pairs of blocks, of few members where their texts are long.
     """
     placed = members.join(parts, members["class"] == parts["node"], "left").select(
         "key", "hub", "class", F.coalesce("component", "class").alias("part")
@@ -270,8 +274,7 @@ def _rest(members: DataFrame, texts: DataFrame, parts: DataFrame, percent: int)
         placed.join(spread.filter("low < high").select("key"), "key").select("hub", "class", "part").distinct(),
         "groups",
     )
-    blocks = groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = groups.join(blocks, "hub").select(
+    dealt = groups.join(_blocks(groups, texts), "hub").select(
         "hub",
         "class",
         "part",
@@ -332,7 +335,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not repeated.isEmpty():
         once = texts.join(repeated, "doc_id", "left_semi").dropDuplicates()
         texts = texts.join(repeated, "doc_id", "left_anti").unionByName(once)
-    texts = stage(texts, "texts")
+    texts = stage(texts.withColumn("size", F.octet_length("text").cast("long")), "texts")
     links = stage(_confirm(star, texts, percent), "links")
     parts = components(links)
     more = stage(_rest(members, texts, parts, percent), "links")
